@@ -7,6 +7,7 @@ from importlib import import_module
 _NAMES = {
     "p1_splits": ("p1_found", "p1_splits"),
     "p4_near": ("p4_found", "p4_groups"),
+    "p5_overlap": ("p5_found", "p5_report"),
 }
 
 
