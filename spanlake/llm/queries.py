@@ -6,8 +6,11 @@ from importlib import import_module
 
 _NAMES = {
     "p1_splits": ("p1_found", "p1_splits"),
+    "p2_cut": ("p2_found", "p2_pieces"),
+    "p3_scans": ("p3_found", "p3_repaired"),
     "p4_near": ("p4_found", "p4_groups"),
     "p5_overlap": ("p5_found", "p5_report"),
+    "p8_garbled": ("p8_found", "p8_restored"),
 }
 
 
