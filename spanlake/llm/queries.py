@@ -10,6 +10,8 @@ _NAMES = {
     "p3_scans": ("p3_found", "p3_repaired"),
     "p4_near": ("p4_found", "p4_groups"),
     "p5_overlap": ("p5_found", "p5_report"),
+    "p6_pack": ("p6_pack", "p6_report"),
+    "p7_mix": ("p7_mix", "p7_report"),
     "p8_garbled": ("p8_found", "p8_restored"),
 }
 
