@@ -3,7 +3,7 @@
 Method: cube-method balanced sampling. Every document of a source is used floor(k) times for certain and once more with
 probability k - floor(k), where k is the source's target over its tokens, at most max_repeats. A flight phase moves these
 probabilities through the null space of two constraints, tokens and documents, until two are left in a block; the leftovers of
-all blocks fly again, and the landing rounds the last two of each source to the least deviation in tokens.
+all blocks fly again. The landing rounds the last few values of each source so that tokens deviate least.
 
 Scale: blocks hold about BLOCK documents however many a source has, so no source meets in one task. The driver sees one row per
 mix and source.
@@ -11,8 +11,6 @@ mix and source.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +19,16 @@ from pyspark.sql import functions as F
 from .common import persist_table, read
 from .tokens import token_counts
 
-BLOCK = 20_000
+#: Documents of a block; values that the landing rounds besides the last two of the flight.
+BLOCK, LANDING = 20_000, 12
 EPS = 1e-9
 
 
-def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Flight phase: p with at most two values strictly between 0 and 1; sum(p) and sum(p * size) stay as they are, each value's expectation too."""
+def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 0) -> np.ndarray:
+    """Flight phase: p with at most two values strictly between 0 and 1, besides `keep` that stay on the ground; sum(p) and
+    sum(p * size) stay as they are, each value's expectation too."""
     p = p.astype(float).copy()
-    order = rng.permutation(np.flatnonzero((p > EPS) & (p < 1 - EPS))).tolist()
+    order = rng.permutation(np.flatnonzero((p > EPS) & (p < 1 - EPS))).tolist()[keep:]
     coin = iter(rng.random(3 * len(order) + 3).tolist())
     vals, sz = p.tolist(), size.astype(float).tolist()
     live: list[int] = []
@@ -60,13 +60,16 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last values: the choice with the least deviation in size, then in number."""
+    """Round the last values, at most LANDING + 2 of them: the choice with the least deviation in size among those off by no more
+    than two in number, by trying all."""
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
     if len(at):
-        want, number = (p[at] * size[at]).sum(), p[at].sum()
-        best = min(itertools.product((0.0, 1.0), repeat=len(at)), key=lambda z: (abs((np.array(z) * size[at]).sum() - want), abs(sum(z) - number), z))
-        p[at] = best
+        z = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        off = np.abs(z @ size[at] - (p[at] * size[at]).sum())
+        number = np.abs(z.sum(axis=1) - p[at].sum())
+        off[number > 2] += float(size[at].sum()) + 1
+        p[at] = z[np.lexsort((number, off))[0]]
     return p
 
 
@@ -76,7 +79,7 @@ def _flight(last: bool, seed: int):
         import zlib
 
         rng = np.random.default_rng([seed, zlib.crc32(f"{b['mix_name'].iloc[0]}|{b['source'].iloc[0]}|{b['block'].iloc[0]}".encode())])
-        p = fly(b["p"].to_numpy(), b["tokens"].to_numpy(), rng)
+        p = fly(b["p"].to_numpy(), b["tokens"].to_numpy(), rng, LANDING if last else 0)
         return b.assign(p=land(p, b["tokens"].to_numpy()) if last else p)
 
     return run
