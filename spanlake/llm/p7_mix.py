@@ -60,16 +60,15 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 0
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last values, at most LANDING + 2 of them: the choice with the least deviation in size among those off by no more
-    than two in number, by trying all."""
+    """Round the last values, at most LANDING + 2 of them: the choice with the least deviation in size, and a little weight on that
+    in number, by trying all."""
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
     if len(at):
         z = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
         off = np.abs(z @ size[at] - (p[at] * size[at]).sum())
         number = np.abs(z.sum(axis=1) - p[at].sum())
-        off[number > 2] += float(size[at].sum()) + 1
-        p[at] = z[np.lexsort((number, off))[0]]
+        p[at] = z[np.argmin(off + 0.02 * size[at].mean() * number)]
     return p
 
 
