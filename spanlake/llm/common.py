@@ -72,3 +72,8 @@ def paper_key(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def objects(df):
+    """A pandas frame for Arrow: strings as plain objects, as an empty Arrow-backed string column has no chunk to send."""
+    return df.astype({c: object for c, t in df.dtypes.items() if t.name in ("str", "string")})

@@ -140,7 +140,7 @@ def deal(grouped: DataFrame, targets: DataFrame) -> DataFrame:
     dealt = line.select("comp", choice.alias("split"))
     if giants:
         dealt = dealt.union(spark.createDataFrame(giants, "comp bigint, split string"))
-    return grouped.join(dealt, "comp").select("span_row_id", "comp", "split")
+    return grouped.select("span_row_id", "comp").join(dealt, "comp").select("span_row_id", "comp", "split")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

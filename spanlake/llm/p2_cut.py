@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -119,27 +118,33 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return [(max(0, a - overlap), b) for a, b in zip([0, *ends], ends)]
 
 
-PIECE = "piece int, start int, end int, text string"
-
-
 def pieces(items: DataFrame, text_col: str, limit: int, overlap: int) -> DataFrame:
     """Every item longer than limit code points as its ordered pieces: all its other columns, with piece (from 0), start, end and
-    text. Shorter items and null texts are left out. text[start:end] is the piece, and each starts overlap before the end of the one before."""
-    from pyspark.sql.types import StructType
+    text. Shorter items and null texts are left out. The text between start and end is the piece, and each starts overlap before
+    the end of the one before. Columns of items that are named like the new ones give way to them."""
+    import pyarrow as pa
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+    new = [StructField("piece", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())]
     long = items.where(F.length(text_col) > limit)
-    others = [c for c in items.columns if c != text_col]
-    schema = StructType([items.schema[c] for c in others]).simpleString()[7:-1]
-    ids = long.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("item"), F.col(text_col).alias("whole"))
+    others = [c for c in items.columns if c != text_col and c not in ("piece", "start", "end", "text")]
+    long = long.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item, whole in zip(b["item"], b["whole"]):
-                p = cuts(whole, limit, overlap)
-                yield pd.DataFrame({"item": [item] * len(p), "piece": range(len(p)), "start": [x for x, _ in p], "end": [y for _, y in p], "text": [whole[x:y] for x, y in p]})
-
-    out = ids.mapInPandas(run, f"item struct<{schema}>, {PIECE}")
-    return out.select("item.*", "piece", "start", "end", "text")
+            rows, number, start, end, text = [], [], [], [], []
+            for i, whole in enumerate(b.column(len(others)).to_pylist()):
+                for k, (x, y) in enumerate(cuts(whole, limit, overlap)):
+                    rows.append(i)
+                    number.append(k)
+                    start.append(x)
+                    end.append(y)
+                    text.append(whole[x:y])
+            kept = b.select(list(range(len(others)))).take(pa.array(rows, pa.int64())) if others else None
+            arrays = [pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(kept.columns if kept is not None else []), *arrays], names=[*others, "piece", "start", "end", "text"])
+
+    return long.mapInArrow(run, StructType([*(long.schema[c] for c in others), *new]))
 
 
 def limits(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:

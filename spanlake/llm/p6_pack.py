@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import persist_table, read
+from .common import objects, persist_table, read
 from .tokens import token_counts
 
 #: Lengths up to 1/SMALL of the capacity fill gaps; classes are WIDTH wide; rounds of multiplicative weights, and their rate.
@@ -193,7 +193,7 @@ def packed(docs: DataFrame, capacities: list[tuple[str, int]], id_col: str = "do
                 if mine.any():
                     k = np.searchsorted(key, size[mine] * (1 << 40) + rank[mine], side="right") - 1
                     out[mine] = box[k] + (rank[mine] - first[k]) // each[k]
-            yield pd.DataFrame({"limit_name": names, "container_id": out, "doc_id": b["doc_id"], "piece": b["piece"], "tokens": b["size"]})
+            yield objects(pd.DataFrame({"limit_name": names, "container_id": out, "doc_id": b["doc_id"], "piece": b["piece"], "tokens": b["size"]}))
 
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("limit_name", "size").orderBy("bucket")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("limit_name", "size", "bucket").orderBy("doc_id", "piece")) - 1

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist_table, read
+from .common import objects, persist_table, read
 from .tokens import token_counts
 
 #: Documents of a block; values that the landing rounds besides the last two of the flight.
@@ -79,7 +79,7 @@ def _flight(last: bool, seed: int):
 
         rng = np.random.default_rng([seed, zlib.crc32(f"{b['mix_name'].iloc[0]}|{b['source'].iloc[0]}|{b['block'].iloc[0]}".encode())])
         p = fly(b["p"].to_numpy(), b["tokens"].to_numpy(), rng, LANDING if last else 0)
-        return b.assign(p=land(p, b["tokens"].to_numpy()) if last else p)
+        return objects(b.assign(p=land(p, b["tokens"].to_numpy()) if last else p))
 
     return run
 

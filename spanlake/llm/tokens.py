@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import objects
+
 #: Rank file of the default tokenizer (a byte-level BPE), found beside the installed vocabulary files.
 DEFAULT = "byte_bpe_50k.tiktoken"
 
@@ -37,7 +39,7 @@ def token_counts(docs: DataFrame, id_cols: list[str], text_col: str, path: str |
         encode = encoding(path).encode_ordinary
         for b in batches:
             n = [len(encode(t)) for t in b["text__"]]
-            yield b.drop(columns="text__").assign(tokens=pd.Series(n, index=b.index, dtype="int32"))
+            yield objects(b.drop(columns="text__").assign(tokens=pd.Series(n, index=b.index, dtype="int32")))
 
     texts = docs.where(F.col(text_col).isNotNull()).select(*id_cols, F.col(text_col).alias("text__"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
