@@ -81,14 +81,14 @@ class Plausibility:
             if len(c.upper()) == 1:
                 self.known[c.upper()] = (0.8, "A")
         for c in "абвгдежзийклмнопрстуфхцчшщъыьэюяё":
-            self.known[c], self.known[c.upper()] = (0.3, "r"), (0.4, "R")
+            self.known[c], self.known[c.upper()] = (0.05, "r"), (0.1, "R")
         for c in SIGNS:
             self.known[c] = (0.8, "s")
         for c in "’‘“”„«»–—…‹›":
             self.known[c] = (0.5, "q")
         for c in "。、,;:?!“”()《》·…—「」【】、":
             if c not in self.known:
-                self.known[c] = (0.3, "p")
+                self.known[c] = (0.05, "p")
 
     def char(self, c: str) -> tuple[float, str]:
         got = self.known.get(c)
@@ -101,7 +101,7 @@ class Plausibility:
         if o == 0xFFFD or 0x80 <= o <= 0x9F or 0xE000 <= o <= 0xF8FF or o > 0xEFFFF:
             return 6.0, "x"
         if c in self.common:
-            return 0.3, "h"
+            return 0.05, "h"
         if 0x3400 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF or 0x20000 <= o <= 0x3FFFF:
             return 2.5, "h"
         if 0x0370 <= o <= 0x03FF:
@@ -111,7 +111,7 @@ class Plausibility:
         if 0x2500 <= o <= 0x259F:
             return 1.2, "b"
         if 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFF60:
-            return 0.3, "p"
+            return 0.05, "p"
         if 0x0080 <= o <= 0x024F or 0x1E00 <= o <= 0x1EFF:
             return (1.5, "A" if c.isupper() else "a") if c.isalpha() else (1.2, "s")
         return (2.0, "o") if c.isalpha() else (1.5, "s")
@@ -199,7 +199,7 @@ class Restorer:
     def _token(self, token: str) -> tuple[bool, str, tuple]:
         plain = html.unescape(token) if "&" in token else token
         start = self.rank.cost(plain)
-        if start < CALM:
+        if start < CALM + 0.05 * len(plain):
             return False, token, ()
         cost, text, steps = self.search(plain)
         if plain != token:
@@ -247,8 +247,10 @@ class Restorer:
                         return new
                 return found[w][1]
             # single letters of a garbled text may look plausible by themselves
-            if ranked and not w.isascii() and (new := self.follow(w, ranked[0])) is not None and self.rank.cost(new) < self.rank.cost(w) - 0.5:
-                return new
+            if ranked and not w.isascii() and (new := self.follow(w, ranked[0])) is not None:
+                utf8 = ranked[0][-1][-1:] == ("utf-8",)  # which chance hardly ever decodes
+                if self.rank.cost(new) <= self.rank.cost(w) - (0 if utf8 else 0.5):
+                    return new
             return w
 
         return TOKEN.sub(one, text)
@@ -266,7 +268,8 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             hit = [r.garbled(t) for t in b["text"]]
             b = b[hit]
             text = [r.restore(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["id"], "restored": text, "complete": [not r.garbled(t) for t in text]})
+            complete = pd.Series([not r.garbled(t) for t in text], index=b.index, dtype=bool)
+            yield pd.DataFrame({"doc_id": b["id"], "restored": pd.Series(text, index=b.index, dtype=object), "complete": complete})
 
     odd = docs.where(F.col(text_col).rlike(r"[^\x00-\x7F]|&#?\w+;"))
     return odd.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, restored string, complete boolean")
