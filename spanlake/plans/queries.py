@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import pytext
 from ..functions import spans as S
 from ..functions import text as T
-from ..operators import corpus, evaluate, retrieval, silver, tokens
+from ..operators import ann, corpus, evaluate, lines, providers, retrieval, silver, tokens
+from ..streaming import ingest
 
 HOST = "anthology.example"
 
@@ -254,9 +256,86 @@ def token_labels(s: SparkSession, d: str) -> DataFrame:
     return x.select("span_row_id", F.size("t").alias("words"), F.aggregate("l", F.lit(0), lambda a, b: a + b).alias("positive"), F.size(tokens.decoded(F.col("t"), F.col("l"))).alias("runs"))
 
 
+def token_scores(s: SparkSession, d: str) -> DataFrame:
+    """Token F1 of the stored baseline extraction against gold spans, by source."""
+    x = table(s, d, "span_rows").where("chunk is not null and gold_spans is not null").select("source", "gold_spans", "baseline_extraction", tokens.token_offsets(F.col("chunk")).alias("t"))
+    base = F.coalesce("baseline_extraction", F.array().cast(x.schema["baseline_extraction"].dataType))
+    x = x.select("source", tokens.token_counts(tokens.labels(F.col("t"), base), tokens.labels(F.col("t"), F.col("gold_spans"))).alias("c"))
+    return tokens.token_f1(x, ["source"], "c")
+
+
+# text algorithms in Python
+
+
+def cleaned_texts(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("before"), pytext.clean_markdown_udf("text").alias("t"))
+    return x.select("doc_id", "before", F.length("t").alias("after"))
+
+
+def sentence_counts(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "span_rows").where("chunk is not null").select("source", pytext.sentences_udf("chunk").alias("x"))
+    return x.groupBy("source").agg(F.sum(F.size("x")).alias("sentences"), F.max(F.size("x")).alias("most"))
+
+
+def document_chunks(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(pytext.chunks_udf("text")).alias("chunk_index", "x"))
+    return x.select("doc_id", "chunk_index", "x.start", "x.end")
+
+
+def gold_alignment_full(s: SparkSession, d: str) -> DataFrame:
+    """Raw gold texts placed exactly, by case, by white space, or by similarity from 0.9 on."""
+    x = table(s, d, "span_rows").select("span_row_id", "chunk", F.posexplode("gold_spans_raw").alias("n", "raw")).where("raw is not null and raw != ''")
+    return x.select("span_row_id", "n", pytext.align_udf("chunk", "raw").alias("a")).select("span_row_id", "n", "a.start", "a.end", "a.score")
+
+
+def extracted_spans(s: SparkSession, d: str) -> DataFrame:
+    """Spans of the lexical stand-in extractor for every row of validation and test."""
+    rows = _gold(s, d).select(F.col("span_row_id").alias("row_id"), "query", "chunk")
+    return providers.extracted(rows, providers.LexicalExtractor()).select(F.col("row_id").alias("span_row_id"), "pred_spans", "error")
+
+
+def scored_sentences(s: SparkSession, d: str) -> DataFrame:
+    rows = _gold(s, d).where("is_relevant").select(F.col("span_row_id").alias("row_id"), "query", "chunk")
+    return providers.sentence_spans(rows, providers.LexicalScorer(), 0.25).select(F.col("row_id").alias("span_row_id"), F.size("pred_spans").alias("spans"))
+
+
+def line_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Line measures of the last predictions for relevant rows, by run."""
+    none = F.array().cast(S.SPANS)
+    runs = table(s, d, "predictions").select("run_name").distinct()
+    rows = _gold(s, d).where("is_relevant and chunk is not null").withColumns({"query": F.coalesce("query", F.lit("")), "paper_id": F.coalesce("paper_id", F.lit(""))}).crossJoin(F.broadcast(runs))
+    j = rows.join(evaluate.last_predictions(table(s, d, "predictions"), ["run_name"]), ["run_name", "query", "paper_id", "chunk_index"], "left")
+    j = j.withColumns({"p": lines.touched_lines(F.col("chunk"), F.coalesce("pred_spans", none)), "g": lines.touched_lines(F.col("chunk"), F.coalesce("gold_spans", none))})
+    m = lines.measures(j, "p", "g", "chunk")
+    return lines.summary(j.select("run_name", *[c.alias(n) for n, c in m.items()]), "run_name", list(m))
+
+
+def ivf_search(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    return ann.search(v.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec")), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
+
+
+def ivf_recall(s: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten best that the inverted lists find."""
+    exact, near = cosine_search(s, d).select("query_id", "item"), ivf_search(s, d).select("query_id", "item", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "item"], "left").agg(F.count("*").alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
+def reranked_runs(s: SparkSession, d: str) -> DataFrame:
+    """Hits of the last hybrid runs reordered by the words their title shares with the query; hits without a title keep their order behind."""
+    r = _last_run(s, d, "hybrid").select("query", F.posexplode("results").alias("pos", "h")).select("query", (F.col("pos") + 1).alias("rank"), "h.document_id", "h.chunk_number", "h.title")
+    words = lambda c: F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+"))
+    score = F.when(F.col("title").isNotNull(), F.size(F.array_intersect(words(F.col("title")), words(F.col("query")))))
+    return retrieval.reranked(r, score, 20, 5).select("query", "new_rank", "rank", "document_id", "chunk_number")
+
+
 # relational regression and events
 
 
+def events_hourly(s: SparkSession, d: str) -> DataFrame:
+    return ingest.windowed_counts(table(s, d, "events"), "ts", "event_type")
+
+
 def pricing_summary(s: SparkSession, d: str) -> DataFrame:
     one = F.lit(1)
     c = F.col
@@ -283,7 +362,8 @@ def first_per_group(s: SparkSession, d: str) -> DataFrame:
 NAMES = [
     "papers_normalised", "papers_kept", "papers_fulltext", "papers_without_text", "document_stats", "unique_texts", "latin_titles", "span_sanity", "gold_alignment", "merged_spans", "post_processed_spans", "word_ranges",
     "span_eval_rows", "span_eval_summary", "predictions_last", "gold_ranks", "recall_at_k", "run_overlap", "run_spearman", "rrf_fusion", "bm25_search", "cosine_search", "silver_candidates", "silver_drop_reasons", "silver_filter_summary",
-    "group_split", "negatives_sampled", "papers_sampled", "chunks_sampled", "resume_pending", "sources_tagged", "label_rollup", "annotation_actions", "answer_match", "token_windows", "token_labels", "pricing_summary", "nation_revenue", "first_per_group",
+    "group_split", "negatives_sampled", "papers_sampled", "chunks_sampled", "resume_pending", "sources_tagged", "label_rollup", "annotation_actions", "answer_match", "token_windows", "token_labels", "token_scores", "cleaned_texts", "sentence_counts", "document_chunks", "gold_alignment_full", "extracted_spans", "scored_sentences", "line_metrics", "ivf_search", "ivf_recall", "reranked_runs",
+    "events_hourly", "pricing_summary", "nation_revenue", "first_per_group",
 ]
 
 

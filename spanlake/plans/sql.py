@@ -182,6 +182,14 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT span_row_id, regexp_extract_all(c, '\\S+') AS words FROM {TOKEN_ROWS}) WHERE len(words) > 0))""",
         "token_labels": f"""WITH r AS (SELECT span_row_id, {wc('c')} AS words, list_sort(list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN gold_spans IF s."end" > s.start]))) AS p FROM {TOKEN_ROWS} WHERE len(gold_spans) > 0)
   SELECT span_row_id, words, len(p) AS positive, len([x FOR x, i IN p IF i = 1 OR p[i - 1] <> x - 1]) AS runs FROM r""",
+        "token_scores": f"""WITH r AS (SELECT source, {wc('c')} AS n, list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN gold_spans IF s."end" > s.start])) AS g,
+    list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN coalesce(baseline_extraction, []) IF s."end" > s.start])) AS p FROM (SELECT source, gold_spans, baseline_extraction, {sp('chunk')} AS c FROM span_rows WHERE chunk IS NOT NULL AND gold_spans IS NOT NULL)),
+  a AS (SELECT source, sum(len(list_intersect(p, g))) AS tp, sum(len(p) - len(list_intersect(p, g))) AS fp, sum(len(g) - len(list_intersect(p, g))) AS fn, sum(n) AS tokens FROM r GROUP BY source)
+  SELECT source, tp, fp, fn, tokens, round({_div('tp', '(tp + fp)')}, 6) AS precision, round({_div('tp', '(tp + fn)')}, 6) AS recall, round({_f1(_div('tp', '(tp + fp)'), _div('tp', '(tp + fn)'))}, 6) AS f1 FROM a""",
+        "reranked_runs": f"""SELECT query, new_rank, rank, document_id, chunk_number FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, rank) AS new_rank FROM (SELECT query, r AS rank, h.document_id, h.chunk_number,
+  CASE WHEN h.title IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(h.title), '[^a-z0-9]+')), list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+')))) END AS score
+  FROM (SELECT query, unnest(results) AS h, generate_subscripts(results, 1) AS r FROM {last_run('hybrid')}) WHERE r <= 20)) WHERE new_rank <= 5""",
+        "events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
         "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS rows FROM lineitem GROUP BY ALL",
         "nation_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
         "first_per_group": "SELECT query, n, span_row_id FROM (SELECT query, span_row_id, row_number() OVER (PARTITION BY query ORDER BY retrieval_rank, span_row_id) AS n FROM span_rows WHERE query IS NOT NULL AND retrieval_rank IS NOT NULL) WHERE n <= 3",
