@@ -8,6 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s|$)|(?=\n\s*\n)|$)", re.S)
 
@@ -174,10 +175,11 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
-SPAN = "array<struct<start:int,end:int>>"
+_OFFSETS = [StructField("start", IntegerType()), StructField("end", IntegerType())]
+SPAN = ArrayType(StructType(_OFFSETS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_markdown_udf(t: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else clean_markdown(x) for x in t], dtype=object)
 
@@ -192,7 +194,7 @@ def chunks_udf(t: pd.Series) -> pd.Series:
     return pd.Series([[] if x is None else [{"start": a, "end": b} for a, b in chunks(x)] for x in t], dtype=object)
 
 
-@F.pandas_udf("struct<start:int,end:int,score:double>")
+@F.pandas_udf(StructType([*_OFFSETS, StructField("score", DoubleType())]))
 def align_udf(chunk: pd.Series, text: pd.Series) -> pd.DataFrame:
     got = [align(c, t) if c is not None and t is not None else None for c, t in zip(chunk, text)]
     got = [(*g, 1.0) if g else fuzzy_locate(c, t) if c and t else None for g, c, t in zip(got, chunk, text)]

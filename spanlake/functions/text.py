@@ -74,5 +74,5 @@ def markdown_spaces(c: Column) -> Column:
 def author_names(author: Column, author_string: Column) -> Column:
     """Full names of the author structs; without any, the comma-separated string."""
     full = F.filter(F.transform(author, lambda a: a["full"]), lambda n: n.isNotNull() & (n != ""))
-    split = F.filter(F.transform(F.split(author_string, ","), F.trim), lambda n: n != "")
+    split = F.filter(F.transform(F.split(author_string, ","), lambda x: F.trim(x)), lambda n: n != "")
     return F.when(F.coalesce(F.size(full), F.lit(0)) > 0, full).otherwise(F.coalesce(split, F.array().cast("array<string>")))

@@ -103,7 +103,7 @@ def paper_chunks(rows: DataFrame) -> DataFrame:
 
 def evidence_rows(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """chunks of paper_chunks with questions(id, question_id, question, evidence array<string>): a chunk's spans are the evidence it contains; a text without white space counts once."""
-    clean = F.array_distinct(F.filter(F.transform("evidence", F.trim), lambda e: e != ""))
+    clean = F.array_distinct(F.filter(F.transform("evidence", lambda x: F.trim(x)), lambda e: e != ""))
     q = questions.select("id", "question_id", "question", clean.alias("wanted"))
     x = chunks.select("id", "chunk_index", "chunk").join(q, "id").withColumn("s", placed(F.col("chunk"), F.filter("wanted", lambda e: F.contains(F.col("chunk"), e))))
     paper = F.concat(F.lit("qasper/"), F.col("id"))

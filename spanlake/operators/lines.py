@@ -22,7 +22,7 @@ def touched_lines(chunk: Column, spans: Column) -> Column:
 
 
 def gold_lines(texts: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(texts, lambda t: F.split(t, "\n"))), F.rtrim), lambda x: F.trim(x) != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(texts, lambda t: F.split(t, "\n"))), lambda x: F.rtrim(x)), lambda x: F.trim(x) != ""))
 
 
 def measures(df: DataFrame, pred: str, gold: str, chunk: str) -> dict[str, Column]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import schemas
 
 
-def jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines with an explicit schema; blank lines are skipped. strict: a malformed line fails the job instead of giving nulls."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
@@ -21,8 +21,8 @@ def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """A prediction file as a JSON list, an object with records, one object, or JSON lines; the shape is found per file."""
-    ddl = schemas.PREDICTION.simpleString()[7:-1]
-    whole = spark.read.option("wholetext", True).text(path).withColumn("value", F.trim("value"))
+    ddl = schemas.PREDICTION
+    whole = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
     listed = whole.where(F.col("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{ddl}>>")).alias("r"))
     boxed = F.from_json("value", f"struct<records: array<struct<{ddl}>>>")["records"]
     single = F.from_json("value", f"struct<{ddl}>")
@@ -39,7 +39,7 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schemas.ANNOTATION).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     some = raw.where(F.coalesce(*[F.when(F.trim(c) != "", F.lit(1)) for c in raw.columns]).isNotNull())
     checked = some.withColumn("url", F.when(F.col("url").isNull(), F.raise_error(F.concat(F.lit("annotation row without its fields: "), F.coalesce("query", F.lit(""))))).otherwise(F.col("url")))
-    parts = F.filter(F.transform(F.split(F.coalesce("gold_extraction", F.lit("")), r"\n\s*\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("gold_extraction", F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
     return checked.withColumns({"rank": F.col("rank").cast("int"), "chunk_number": F.col("chunk_number").cast("int"), "gold_extraction": parts, "relevance_label": F.coalesce("relevance_label", F.lit("")), "extraction_label": F.coalesce("extraction_label", F.lit(""))})
 
 
@@ -49,8 +49,6 @@ def stem(c) -> object:
 
 def markdown_folder(spark: SparkSession, path: str) -> DataFrame:
     """(anthology_id, markdown): every .md file below a folder; of equal names the first path. Bytes that aren't UTF-8 are replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(b: pd.Series) -> pd.Series:
         return pd.Series([bytes(x).decode("utf-8", "replace") for x in b], dtype=object)

@@ -44,7 +44,8 @@ def annotation_sheet(hits: DataFrame, path: str) -> None:
     """hits(query, rank, title, url, chunk_number, chunk) as a sheet, a blank row after each query."""
     cols = ["query", "rank", "title", "url", "chunk_number", "chunk"]
     last = F.lead("rank").over(Window.partitionBy("query").orderBy("rank")).isNull()
-    text = hits.select("query", "rank", *[F.col(c).cast("string").alias(f"_{c}") for c in cols], F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("blank"))
+    text = hits.select("query", "rank", *[F.col(c).cast("string").alias(f"_{c}") for c in cols], last.alias("last"))
+    text = text.withColumn("blank", F.explode(F.when(F.col("last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     out = text.repartitionByRange("query").sortWithinPartitions("query", "rank", "blank").select(*[F.when(F.col("blank") == 0, F.col(f"_{c}")).alias(c) for c in cols])
     out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 

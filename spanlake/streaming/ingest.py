@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
-def ingest_new(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, keys: list[str]) -> None:
+def ingest_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str]) -> None:
     """Take all files of a folder that weren't taken before and append the rows whose keys the target lacks; then stop.
 
     The checkpoint makes a restart take up where the last run ended; a batch repeated after a failure adds nothing twice."""
