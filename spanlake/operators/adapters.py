@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
@@ -29,15 +30,15 @@ def _record(df: DataFrame, dataset: str, question: Column, paper: Column, gold_p
     )
 
 
-def tool_outputs(rows: DataFrame) -> DataFrame:
+def tool_outputs(rows: DataFrame, dataset: str) -> DataFrame:
     """rows(input, relevant array<string>, query, instance_id, tool_type, chunk_index): the chunk is what follows the marker; rows without it or a query are left out."""
-    marker = "\n\nTool output:\n"
+    marker = "\n\nTool output:\n"  # fixed value
     at = F.position(F.lit(marker), F.col("input"))
     df = rows.where((at > 0) & (F.coalesce("query", F.lit("")) != "")).withColumn("c", F.substring("input", at + len(marker), F.length("input")))
     df = df.withColumn("s", placed(F.col("c"), F.coalesce("relevant", F.array().cast("array<string>"))))
     i = F.coalesce("chunk_index", F.lit(0))
-    name = lambda *p: F.concat_ws("/", F.lit("squeez"), *[F.coalesce(x, F.lit("")) for x in p])
-    return _record(df, "squeez", F.col("query"), name("tool_type", "instance_id"), name("instance_id"), i, F.col("c"), F.col("s"))
+    name = lambda *p: F.concat_ws("/", F.lit(dataset), *[F.coalesce(x, F.lit("")) for x in p])
+    return _record(df, dataset, F.col("query"), name("tool_type", "instance_id"), name("instance_id"), i, F.col("c"), F.col("s"))
 
 
 def keyed_sentences(rows: DataFrame, dataset: str = "ragbench") -> DataFrame:
@@ -45,7 +46,7 @@ def keyed_sentences(rows: DataFrame, dataset: str = "ragbench") -> DataFrame:
     distinct document of a question; its spans are its sentences whose key (document number and letters) is relevant."""
     x = rows.select("config", "id", "question", "relevant", "sentences", F.posexplode("documents").alias("i", "doc"))
     x = x.withColumn("own", F.try_element_at("sentences", F.col("i") + 1)).where((F.coalesce("doc", F.lit("")) != "") & (F.size("own") > 0))
-    first = F.row_number().over(__import__("pyspark").sql.window.Window.partitionBy("config", "id", "doc").orderBy("i"))
+    first = F.row_number().over(Window.partitionBy("config", "id", "doc").orderBy("i"))
     x = x.withColumn("n", first).where("n = 1")
     offsets = placed(F.col("doc"), F.transform("own", lambda e: e[1]))
     x = x.withColumn("at", offsets)

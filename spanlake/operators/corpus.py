@@ -53,3 +53,38 @@ def annotation_action() -> Column:
         .when(label == "", "skip")
         .otherwise("keep")
     )
+
+
+def flattened_collections(collections: DataFrame) -> DataFrame:
+    """collections(collection_id, volumes array<struct<volume_id, booktitle, year, papers array<struct<paper_id, title>>>>) as one row per
+    paper with its volume's fields; volumes and collections without papers give none."""
+    v = collections.select("collection_id", F.explode("volumes").alias("v"))
+    return v.select("collection_id", "v.volume_id", "v.booktitle", "v.year", F.explode("v.papers").alias("p")).select("*", "p.*").drop("p")
+
+
+def exactly_one(chunks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The one row of chunks for every key of wanted; a key without a row or with several fails the job."""
+    n = chunks.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*[c for c in chunks.columns if c not in keys])).alias("_r"))
+    j = wanted.select(*keys).join(n, keys, "left")
+    bad = F.raise_error(F.concat(F.lit("not exactly one row for "), F.to_json(F.struct(*keys))))
+    return j.withColumn("_n", F.when(F.col("_n") == 1, F.col("_n")).otherwise(bad.cast("bigint"))).where("_n = 1").select(*keys, "_r.*")
+
+
+def conversion_plan(files: DataFrame, metadata: DataFrame, outputs: DataFrame, denied: list[str]) -> DataFrame:
+    """files(anthology_id, path) that metadata lists, that aren't denied and have no output yet; of several paths the first."""
+    first = files.where(F.col("anthology_id").isNotNull() & ~F.col("anthology_id").isin(*denied)).groupBy("anthology_id").agg(F.min("path").alias("path"))
+    return first.join(metadata.select("anthology_id"), "anthology_id", "left_semi").join(outputs.select("anthology_id"), "anthology_id", "left_anti")
+
+
+def annotated_hits(sheet: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows of an annotation sheet joined with the stored hits by (query, rank, url, chunk_number); a row without its hit fails the job."""
+    keys = ["query", "rank", "url", "chunk_number"]
+    j = sheet.join(hits.select(*keys, "document_id").withColumn("found", F.lit(1)), keys, "left")
+    lost = F.raise_error(F.concat(F.lit("annotation without a hit: "), F.coalesce(F.to_json(F.struct(*keys)), F.lit("")))).cast("int")
+    return j.withColumn("found", F.coalesce("found", lost)).where("found = 1").drop("found")
+
+
+def same_gold(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of gold keys that only one of two runs has, with the side; empty if both were asked the same."""
+    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return x.exceptAll(y).withColumn("side", F.lit("a")).unionByName(y.exceptAll(x).withColumn("side", F.lit("b")))

@@ -87,3 +87,24 @@ def per_group_sample(rows: DataFrame, group: str, item: str, n: int, seed: int =
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key isn't done yet; rows with a null key are always pending."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def records(candidates_with_spans: DataFrame) -> DataFrame:
+    """Silver records of candidates(..., source, answerable, spans): label 1 for gold chunks and answerable ones, spans only with label 1."""
+    label = ((F.col("source") == "gold") | F.coalesce(F.col("answerable"), F.lit(False))).cast("int")
+    kind = candidates_with_spans.schema["spans"].dataType
+    spans = F.when(label == 1, F.coalesce("spans", F.array().cast(kind))).otherwise(F.array().cast(kind))
+    return candidates_with_spans.withColumns({"label": label, "spans": spans})
+
+
+def generative_examples(rows: DataFrame, most: int = 10) -> DataFrame:
+    """prompt and response of rows(question, chunk, label, spans): the response is JSON with at most `most` span texts."""
+    texts = F.slice(F.coalesce(F.transform("spans", lambda s: s["text"]), F.array().cast("array<string>")), 1, most)
+    shown = F.when(F.coalesce(F.col("label"), F.lit(0)) == 1, texts).otherwise(F.array().cast("array<string>"))
+    prompt = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\nText:\n"), F.coalesce("chunk", F.lit("")), F.lit("\n\nQuote the passages that answer the question."))
+    return rows.select(prompt.alias("prompt"), F.to_json(F.struct((F.size(shown) > 0).alias("answerable"), shown.alias("spans"))).alias("response"))
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int, seed: int = 1337) -> DataFrame:
+    """n rows in hashed order of a key."""
+    return rows.withColumn("_h", hashed(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")

@@ -69,3 +69,19 @@ def token_f1(rows: DataFrame, by: list[str], counts: str) -> DataFrame:
     a = rows.groupBy(*by).agg(*[F.sum(f"{counts}.{c}").alias(c) for c in ("tp", "fp", "fn", "n")])
     p, r = S.safe_div(F.col("tp"), F.col("tp") + F.col("fp")), S.safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
     return a.select(*by, "tp", "fp", "fn", F.col("n").alias("tokens"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(S.f1(p, r), 6).alias("f1"))
+
+
+def sentence_scores(sentences: Column, tokens: Column, probs: Column) -> Column:
+    """Mean over a sentence's characters of the highest probability of a token that covers each; 0 for characters no token covers."""
+    z = F.arrays_zip(tokens.alias("t"), probs.alias("p"))
+
+    def at(i: Column) -> Column:
+        over = F.transform(F.filter(z, lambda x: (x["t"]["start"] <= i) & (x["t"]["end"] > i)), lambda x: x["p"])
+        return F.coalesce(F.array_max(over), F.lit(0.0))
+
+    return F.transform(sentences, lambda s: F.aggregate(F.transform(F.sequence(s["start"], s["end"] - 1), at), F.lit(0.0), lambda a, b: a + b) / (s["end"] - s["start"]))
+
+
+def thresholded(tokens: Column, probs: Column, threshold: float) -> Column:
+    """Spans of runs of tokens whose probability reaches the threshold."""
+    return decoded(tokens, F.transform(probs, lambda p: (p >= threshold).cast("int")))

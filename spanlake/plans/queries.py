@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import pytext
 from ..functions import spans as S
 from ..functions import text as T
-from ..operators import ann, corpus, evaluate, lines, providers, retrieval, silver, tokens
+from ..operators import ann, answers, corpus, evaluate, lines, providers, retrieval, silver, tokens
 from ..streaming import ingest
 
 HOST = "anthology.example"
@@ -159,9 +159,52 @@ def cosine_search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.cosine_search(v.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec")), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
 
 
+def sparse_search(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "span_rows").select(F.col("span_row_id").alias("item"), "chunk")
+    return retrieval.sparse_search(retrieval.term_weights(docs, "item", "chunk"), retrieval.term_weights(_asked(s, d), "query_id", "query_text"), 10)
+
+
+def filtered_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows chosen by a search filter in its own language."""
+    rule = retrieval.filter_expression('source == "gold" and metadata["chunk_index"] > 2 and metadata["paper_id"] LIKE "%quill%"')
+    return table(s, d, "span_rows").where(rule).select("span_row_id", "source", "chunk_index")
+
+
+def runs_gold_difference(s: SparkSession, d: str) -> DataFrame:
+    r = table(s, d, "retrieval_runs").select("search_type", "query", "gold_paper", "gold_chunk")
+    return corpus.same_gold(r.where("search_type = 'hybrid'"), r.where("search_type = 'dense'"), ["query", "gold_paper", "gold_chunk"])
+
+
 # silver labels
 
 
+def silver_records(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of the stored runs as records, answerable where a relevant span row has the same query and chunk."""
+    c = silver.candidates(table(s, d, "retrieval_runs"), 3).drop("gold_chunk")
+    rows = table(s, d, "span_rows").where("is_relevant and query is not null and paper_id is not null").groupBy("query", "paper_id", "chunk_index").agg(F.min_by("gold_spans", "span_row_id").alias("spans"), F.lit(True).alias("answerable"))
+    r = silver.records(c.join(rows, ["query", "paper_id", "chunk_index"], "left"))
+    return r.select("run_row_id", "source", "paper_id", "chunk_index", "label", F.size("spans").alias("spans"))
+
+
+def conversion_plan(s: SparkSession, d: str) -> DataFrame:
+    """Papers whose file still has to be converted: listed, without text, not denied."""
+    p = table(s, d, "papers")
+    done = table(s, d, "documents").where("source = 'paper_body' and text is not null").select("anthology_id").distinct()
+    return corpus.conversion_plan(p.where("pdf is not null").select("anthology_id", F.col("pdf").alias("path")), p, done, ["1968.tallow-primer.1"])
+
+
+def generative_examples(s: SparkSession, d: str) -> DataFrame:
+    x = silver.generative_examples(corpus.silver_rows(table(s, d, "span_rows")).where("chunk is not null"))
+    return x.select(F.md5("prompt").alias("prompt_hash"), F.length("prompt").alias("prompt_chars"), F.contains("response", F.lit('"answerable":true')).alias("answerable"))
+
+
+def answer_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Exact and partial match of the first run's answers against gold texts."""
+    g = _gold(s, d).where("is_relevant and query is not null and paper_id is not null").select("span_row_id", "query", "paper_id", "chunk_index", F.transform("gold_spans", lambda x: T.answer_form(x["text"])).alias("gold"))
+    p = evaluate.last_predictions(table(s, d, "predictions").where("run_name = 'encoder_small'")).select("query", "paper_id", "chunk_index", F.transform("pred_spans", lambda x: T.answer_form(F.coalesce(x["text"], F.lit("")))).alias("pred"))
+    return answers.summary(g.join(p, ["query", "paper_id", "chunk_index"], "left").withColumnRenamed("span_row_id", "row_id"))
+
+
 def silver_candidates(s: SparkSession, d: str) -> DataFrame:
     """Candidates of every run with their text: the chunk of the first span row that has it."""
     c = silver.candidates(table(s, d, "retrieval_runs"), 3)
@@ -363,7 +406,7 @@ NAMES = [
     "papers_normalised", "papers_kept", "papers_fulltext", "papers_without_text", "document_stats", "unique_texts", "latin_titles", "span_sanity", "gold_alignment", "merged_spans", "post_processed_spans", "word_ranges",
     "span_eval_rows", "span_eval_summary", "predictions_last", "gold_ranks", "recall_at_k", "run_overlap", "run_spearman", "rrf_fusion", "bm25_search", "cosine_search", "silver_candidates", "silver_drop_reasons", "silver_filter_summary",
     "group_split", "negatives_sampled", "papers_sampled", "chunks_sampled", "resume_pending", "sources_tagged", "label_rollup", "annotation_actions", "answer_match", "token_windows", "token_labels", "token_scores", "cleaned_texts", "sentence_counts", "document_chunks", "gold_alignment_full", "extracted_spans", "scored_sentences", "line_metrics", "ivf_search", "ivf_recall", "reranked_runs",
-    "events_hourly", "pricing_summary", "nation_revenue", "first_per_group",
+    "events_hourly", "sparse_search", "filtered_rows", "runs_gold_difference", "silver_records", "conversion_plan", "generative_examples", "answer_overlap", "pricing_summary", "nation_revenue", "first_per_group",
 ]
 
 

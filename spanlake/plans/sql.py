@@ -190,6 +190,20 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN h.title IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(h.title), '[^a-z0-9]+')), list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+')))) END AS score
   FROM (SELECT query, unnest(results) AS h, generate_subscripts(results, 1) AS r FROM {last_run('hybrid')}) WHERE r <= 20)) WHERE new_rank <= 5""",
         "events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
+        "sparse_search": f"""WITH d AS (SELECT item, term, 1 + ln(count(*)) AS w FROM (SELECT span_row_id AS item, unnest({gold_terms}) AS term FROM span_rows) GROUP BY ALL),
+  q AS (SELECT query_id, term, 1 + ln(count(*)) AS v FROM (SELECT span_row_id AS query_id, unnest({TERMS.format('query')}) AS term FROM span_rows WHERE span_row_id % 20 = 0) GROUP BY ALL),
+  x AS (SELECT query_id, item, round(sum(w * v), 6) AS score FROM q JOIN d USING (term) GROUP BY ALL) SELECT query_id, rank, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM x) WHERE rank <= 10""",
+        "filtered_rows": "SELECT span_row_id, source, chunk_index FROM span_rows WHERE source = 'gold' AND chunk_index > 2 AND paper_id LIKE '%quill%'",
+        "runs_gold_difference": """WITH a AS (SELECT DISTINCT query, gold_paper, gold_chunk FROM retrieval_runs WHERE search_type = 'hybrid'), b AS (SELECT DISTINCT query, gold_paper, gold_chunk FROM retrieval_runs WHERE search_type = 'dense')
+  SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+        "silver_records": """WITH c AS (SELECT run_row_id, query, gold_paper AS paper_id, gold_chunk AS chunk_index, 'gold' AS source FROM retrieval_runs WHERE gold_paper IS NOT NULL AND gold_chunk IS NOT NULL
+  UNION ALL SELECT run_row_id, query, x.document_id, x.chunk_number, 'retrieved' FROM (SELECT run_row_id, query, gold_paper, gold_chunk, unnest(results[1:3]) AS x FROM retrieval_runs) WHERE NOT (x.document_id IS NOT DISTINCT FROM gold_paper AND x.chunk_number IS NOT DISTINCT FROM gold_chunk)),
+  r AS (SELECT query, paper_id, chunk_index, arg_min(gold_spans, span_row_id) AS spans FROM span_rows WHERE is_relevant AND query IS NOT NULL AND paper_id IS NOT NULL GROUP BY ALL)
+  SELECT run_row_id, source, c.paper_id, c.chunk_index, CASE WHEN source = 'gold' OR r.query IS NOT NULL THEN 1 ELSE 0 END AS label, coalesce(len(r.spans), 0) AS spans FROM c LEFT JOIN r ON r.query = c.query AND r.paper_id = c.paper_id AND r.chunk_index = c.chunk_index""",
+        "conversion_plan": """SELECT anthology_id, min(pdf) AS path FROM papers WHERE pdf IS NOT NULL AND anthology_id IS NOT NULL AND anthology_id <> '1968.tallow-primer.1'
+  AND anthology_id NOT IN (SELECT anthology_id FROM documents WHERE source = 'paper_body' AND text IS NOT NULL AND anthology_id IS NOT NULL) GROUP BY anthology_id""",
+        "generative_examples": """SELECT md5(p) AS prompt_hash, length(p) AS prompt_chars, a AS answerable FROM (SELECT 'Question: ' || coalesce(query, '') || chr(10) || chr(10) || 'Text:' || chr(10) || chunk || chr(10) || chr(10) || 'Quote the passages that answer the question.' AS p,
+  coalesce(is_relevant, false) AND coalesce(len(gold_spans), 0) > 0 AS a FROM span_rows WHERE chunk IS NOT NULL)""",
         "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS rows FROM lineitem GROUP BY ALL",
         "nation_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
         "first_per_group": "SELECT query, n, span_row_id FROM (SELECT query, span_row_id, row_number() OVER (PARTITION BY query ORDER BY retrieval_rank, span_row_id) AS n FROM span_rows WHERE query IS NOT NULL AND retrieval_rank IS NOT NULL) WHERE n <= 3",

@@ -112,8 +112,8 @@ def test_python_text():
 
 
 def test_adapters(spark):
-    r = adapters.tool_outputs(spark.createDataFrame([("Query: q\n\nTool output:\nab cd ab", ["ab", "ab", "zz", ""], "q", "i1", "grep", 2), ("no marker", [], "q", "i", "t", 0)], "input string, relevant array<string>, query string, instance_id string, tool_type string, chunk_index int")).collect()
-    assert len(r) == 1 and [(s.start, s.end) for s in r[0].spans] == [(0, 2), (6, 8)] and r[0].paper_id == "squeez/grep/i1" and r[0].retrieval_rank == 3
+    r = adapters.tool_outputs(spark.createDataFrame([("Query: q\n\nTool output:\nab cd ab", ["ab", "ab", "zz", ""], "q", "i1", "grep", 2), ("no marker", [], "q", "i", "t", 0)], "input string, relevant array<string>, query string, instance_id string, tool_type string, chunk_index int"), "tools").collect()
+    assert len(r) == 1 and [(s.start, s.end) for s in r[0].spans] == [(0, 2), (6, 8)] and r[0].paper_id == "tools/grep/i1" and r[0].retrieval_rank == 3
     k = adapters.keyed_sentences(spark.createDataFrame([("c", "7", "q", ["A b. C d.", "E f."], [[["0a", "A b."], ["0b", "C d."]], [["1a", "E f."]]], ["0b"])], "config string, id string, question string, documents array<string>, sentences array<array<array<string>>>, relevant array<string>")).orderBy("chunk_index").collect()
     assert [(x.label, [(s.start, s.text) for s in x.spans]) for x in k] == [(1, [(5, "C d.")]), (0, [])]
     m = adapters.tagged_tokens(spark.createDataFrame([("1", ["who"], ["a", "bb", "c", "d"], ["I", "B", "I", "O"])], "id string, question array<string>, context array<string>, label array<string>")).first()
@@ -145,3 +145,47 @@ def test_lines(spark):
     assert (df.first().p, df.first().q) == (["a", "b"], ["a", "b", "x"])
     m = lines.measures(df, "p", "q", "c")
     assert lines.summary(df.select("run", *[x.alias(n) for n, x in m.items()]), "run", list(m)).first().line_f1_mean == 0.8
+
+
+def test_corpus_operators(spark):
+    import pytest
+
+    from spanlake.operators import answers, corpus
+
+    tree = spark.createDataFrame([("c", [("v", "B", "2001", [("p1", "t"), ("p2", "u")]), ("w", "B", "2002", [])])], "collection_id string, volumes array<struct<volume_id:string,booktitle:string,year:string,papers:array<struct<paper_id:string,title:string>>>>")
+    assert sorted(r.paper_id for r in corpus.flattened_collections(tree).collect()) == ["p1", "p2"]
+    chunks = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 1, "z")], "url string, n int, text string")
+    assert corpus.exactly_one(chunks, spark.createDataFrame([("a", 1)], "url string, n int"), ["url", "n"]).first().text == "x"
+    for bad in (("b", 1), ("c", 1)):
+        with pytest.raises(Exception):
+            corpus.exactly_one(chunks, spark.createDataFrame([bad], "url string, n int"), ["url", "n"]).collect()
+    plan = corpus.conversion_plan(spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), (None, "1")], "anthology_id string, path string"), spark.createDataFrame([("a",), ("b",), ("c",)], "anthology_id string"), spark.createDataFrame([("b",)], "anthology_id string"), ["c"])
+    assert [tuple(r) for r in plan.collect()] == [("a", "1")]
+    hits = spark.createDataFrame([("q", 1, "u", 0, "d")], "query string, rank int, url string, chunk_number int, document_id string")
+    sheet = spark.createDataFrame([("q", 1, "u", 0, "r")], "query string, rank int, url string, chunk_number int, label string")
+    assert corpus.annotated_hits(sheet, hits).first().document_id == "d"
+    with pytest.raises(Exception):
+        corpus.annotated_hits(sheet.withColumn("rank", F.lit(2)), hits).collect()
+    a = answers.summary(spark.createDataFrame([(1, ["abc", "zz"], ["abc"]), (2, [], None), (3, None, ["ab"])], "row_id bigint, pred array<string>, gold array<string>")).first()
+    assert (a.em_p, a.em_r) == (50.0, 66.67) and a.overlap_r == 66.67
+    empty = answers.summary(spark.createDataFrame([], "row_id bigint, pred array<string>, gold array<string>")).first()
+    assert empty.em_f1 == 0
+
+
+def test_search_filters_and_scores(spark):
+    assert retrieval.filter_expression('a == "it\'s" and metadata["year"] > 2000 or t LIKE "%x%"') == "a = 'it''s' and `year` > 2000 or t LIKE '%x%'"
+    df = spark.createDataFrame([([(0, 4)], [(0, 2), (2, 4)], [0.5, 1.0])], "s array<struct<start:int,end:int>>, t array<struct<start:int,end:int>>, p array<double>")
+    r = df.select(tokens.sentence_scores(F.col("s"), F.col("t"), F.col("p")).alias("x"), tokens.thresholded(F.col("t"), F.col("p"), 0.6).alias("y")).first()
+    assert r.x == [0.75] and [(a.start, a.end) for a in r.y] == [(2, 4)]
+    x = retrieval.sparse_search(retrieval.term_weights(spark.createDataFrame([(1, "a b"), (2, "b b"), (3, None)], "item bigint, text string"), "item", "text"), retrieval.term_weights(spark.createDataFrame([(9, "b")], "query_id bigint, q string"), "query_id", "q"), 5)
+    assert [r["item"] for r in x.orderBy("rank").collect()] == [2, 1]
+
+
+def test_records_and_report(spark):
+    from spanlake.plans import report
+
+    df = spark.createDataFrame([("gold", None, None), ("retrieved", True, [(0, 1, "x")]), ("retrieved", False, [(0, 1, "x")])], f"source string, answerable boolean, spans {SP}")
+    assert [(r.label, len(r.spans)) for r in silver.records(df).collect()] == [(1, 0), (1, 1), (0, 0)]
+    g = silver.generative_examples(spark.createDataFrame([("q", "c", 1, [(0, 1, "x")]), (None, None, 0, None)], f"question string, chunk string, label int, spans {SP}")).collect()
+    assert '"answerable":true' in g[0].response and '"spans":[]' in g[1].response
+    assert report.table(spark.createDataFrame([(1, 0.5)], "a int, b double")) == "a  b     \n-  ------\n1  0.5000"
