@@ -199,3 +199,8 @@ def align_udf(chunk: pd.Series, text: pd.Series) -> pd.DataFrame:
     got = [align(c, t) if c is not None and t is not None else None for c, t in zip(chunk, text)]
     got = [(*g, 1.0) if g else fuzzy_locate(c, t) if c and t else None for g, c, t in zip(got, chunk, text)]
     return pd.DataFrame({"start": pd.array([g[0] if g else None for g in got], dtype="Int32"), "end": pd.array([g[1] if g else None for g in got], dtype="Int32"), "score": pd.array([g[2] if g else None for g in got], dtype="Float64")})
+
+
+@F.pandas_udf(SPAN)
+def token_offsets_udf(t: pd.Series) -> pd.Series:
+    return pd.Series([[] if x is None else [{"start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", x)] for x in t], dtype=object)

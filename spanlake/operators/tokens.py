@@ -6,19 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.text import WORD
+from ..functions.pytext import token_offsets_udf
 
 
 def token_offsets(text: Column) -> Column:
-    """array<struct<start,end>> of the words of a text, in order, by a running search."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        pos = F.call_function("locate", w, text, acc["at"])
-        return F.struct((pos + F.length(w)).alias("at"), F.array_append(acc["out"], F.struct((pos - 1).alias("start"), (pos - 1 + F.length(w)).alias("end"))).alias("out"))
-
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
+    """array<struct<start,end>> of the words of a text, in order. A running array in a higher-order function would be copied for
+    every word, so this is an Arrow function."""
+    return token_offsets_udf(text)
 
 
 def windows(rows: DataFrame, keys: list[str], tokens: str, size: int, overlap: int) -> DataFrame:
