@@ -68,18 +68,29 @@ def group_split(rows: DataFrame, keys: list[str], fraction: float = 0.1, seed: i
     return rows.withColumn("h", h).join(dev, "h", "left").withColumn("split", F.coalesce("dev", F.lit("train"))).drop("h", "dev")
 
 
-def negatives(rows: DataFrame, query: str, label: str, item: str, ratio: int, seed: int = 1337) -> DataFrame:
-    """All positives, and per query min(#negatives, ratio * #positives) negatives in hashed order.
+def block_rank(rows: DataFrame, group: str, h: str, ties: str) -> DataFrame:
+    """rows with rank: the place of each row within its group in the order of a hex hash column (then ties). Counts of 256 hash ranges
+    per group give each range its first rank, so that no task ranks a whole hot group. Null is a group like any other."""
+    x = rows.withColumn("_r", F.substring(h, 1, 2))
+    counts = x.groupBy(F.col(group).alias("_g"), F.col("_r").alias("_s")).agg(F.count("*").alias("_c"))
+    before = counts.select("_g", "_s", (F.sum("_c").over(Window.partitionBy("_g").orderBy("_s")) - F.col("_c")).alias("_b"))
+    within = F.row_number().over(Window.partitionBy(group, "_r").orderBy(h, ties))
+    ranked = x.withColumn("_n", within)
+    return ranked.join(before, ranked[group].eqNullSafe(before["_g"]) & (ranked["_r"] == before["_s"])).withColumn("rank", F.col("_b") + F.col("_n")).drop("_r", "_g", "_s", "_b", "_n")
 
-    A query with very many rows is ranked by one task; the window limits to the rank first, so only candidates are kept.
-    """
-    count = rows.groupBy(query).agg(F.count_if(F.col(label)).alias("positives"))
-    neg = rows.where(~F.col(label)).join(count, query).withColumn("n", F.row_number().over(Window.partitionBy(query).orderBy(hashed(seed, F.col(query), F.col(item)))))
-    return rows.where(F.col(label)).select(query, item, label).unionByName(neg.where(F.col("n") <= F.col("positives") * ratio).select(query, item, label))
+
+def negatives(rows: DataFrame, query: str, label: str, item: str, ratio: int, seed: int = 1337) -> DataFrame:
+    """All positives, and per query min(#negatives, ratio * #positives) negatives in hashed order. A null label counts as negative."""
+    known = rows.select(F.col(query).alias("q"), F.col(item).alias("i"), F.coalesce(label, F.lit(False)).alias("y"))
+    count = known.where("y").groupBy(F.col("q").alias("_q")).agg(F.count("*").alias("positives"))
+    neg = block_rank(known.where("not y").withColumn("h", hashed(seed, F.col("q"), F.col("i"))), "q", "h", "i")
+    kept = neg.join(count, F.col("q").eqNullSafe(F.col("_q"))).where(F.col("rank") <= F.col("positives") * ratio)
+    both = known.where("y").select("q", "i", "y").unionByName(kept.select("q", "i", "y"))
+    return both.select(F.col("q").alias(query), F.col("i").alias(item), F.col("y").alias(label))
 
 
 def per_group_sample(rows: DataFrame, group: str, item: str, n: int, seed: int = 1337) -> DataFrame:
-    """n items of each group in hashed order; all where there are fewer."""
+    """n items of each group in hashed order; all where there are fewer. The constant limit prunes each task before the shuffle."""
     w = Window.partitionBy(group).orderBy(hashed(seed, F.col(item)), F.col(item))
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
 
