@@ -123,10 +123,10 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT *, CASE WHEN len(full_names) > 0 THEN full_names ELSE coalesce([trim(x) FOR x IN string_split(author_string, ',') IF trim(x) <> ''], []) END AS names
     FROM (SELECT *, coalesce([a."full" FOR a IN author IF a."full" IS NOT NULL AND a."full" <> ''], []) AS full_names FROM {LAST_PAPERS}))""",
         "papers_kept": f"SELECT anthology_id, url, language FROM papers WHERE {KEPT}",
-        "papers_fulltext": """SELECT volume_id, count(DISTINCT d.anthology_id) AS papers, count(*) AS documents, sum(n_chars) AS chars FROM documents d JOIN (SELECT DISTINCT anthology_id FROM papers WHERE anthology_id IS NOT NULL) p ON p.anthology_id = d.anthology_id
+        "papers_fulltext": """SELECT volume_id, count(DISTINCT d.anthology_id) AS papers, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents d JOIN (SELECT DISTINCT anthology_id FROM papers WHERE anthology_id IS NOT NULL) p ON p.anthology_id = d.anthology_id
   WHERE text IS NOT NULL GROUP BY volume_id""",
         "papers_without_text": "SELECT DISTINCT anthology_id FROM papers WHERE anthology_id IS NOT NULL AND anthology_id NOT IN (SELECT anthology_id FROM documents WHERE text IS NOT NULL AND anthology_id IS NOT NULL)",
-        "document_stats": f"SELECT source, lower(lang) AS lang, count(*) AS documents, sum({wc(sp(chr(34) + 'text' + chr(34)))}) AS words, max(length(text)) AS longest FROM (SELECT source, lang, coalesce(text, '') AS text FROM documents) GROUP BY ALL",
+        "document_stats": f"SELECT source, lower(lang) AS lang, count(*) AS documents, CAST(sum({wc(sp(chr(34) + 'text' + chr(34)))}) AS BIGINT) AS words, max(length(text)) AS longest FROM (SELECT source, lang, coalesce(text, '') AS text FROM documents) GROUP BY ALL",
         "unique_texts": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text",
         "latin_titles": r"SELECT DISTINCT anthology_id, url, coalesce(NOT regexp_matches(regexp_replace(title, '\p{Latin}', '', 'g'), '\p{L}'), false) AS latin FROM papers",
         "span_sanity": """SELECT source, count(*) AS spans, count(*) FILTER (bad) AS out_of_bounds, count(*) FILTER (NOT bad AND substr(chunk, g.start + 1, g."end" - g.start) <> g.text) AS other_text
@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
   round(count(*) FILTER (p <= k) / count(*)::DOUBLE, 6) AS paper_recall, round(count(*) FILTER (c <= k) / count(*)::DOUBLE, 6) AS chunk_recall
   FROM (SELECT *, list_min([i FOR x, i IN results IF x.document_id = gold_paper]) AS p, list_min([i FOR x, i IN results IF x.document_id = gold_paper AND x.chunk_number = gold_chunk]) AS c FROM retrieval_runs),
   (SELECT unnest([1, 3, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000]) AS k) GROUP BY search_type, k""",
-        "run_overlap": f"""SELECT count(*) AS queries, sum(i) AS shared, sum(u) AS either, round(avg(CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END), 6) AS mean_iou, round(sum(i) / sum(u)::DOUBLE, 6) AS global_iou
+        "run_overlap": f"""SELECT count(*) AS queries, CAST(sum(i) AS BIGINT) AS shared, CAST(sum(u) AS BIGINT) AS either, round(avg(CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END), 6) AS mean_iou, round(sum(i) / sum(u)::DOUBLE, 6) AS global_iou
   FROM (SELECT len(list_intersect(x, y)) AS i, len(list_distinct(list_concat(x, y))) AS u FROM (SELECT query, {TOP5} AS x FROM {last_run('hybrid')}) JOIN (SELECT query, {TOP5} AS y FROM {last_run('dense')}) USING (query))""",
         "run_spearman": f"""SELECT count(*) AS pairs, round(corr(a, b), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY ra) + (count(*) OVER (PARTITION BY ra) - 1) / 2.0 AS a, rank() OVER (ORDER BY rb) + (count(*) OVER (PARTITION BY rb) - 1) / 2.0 AS b
   FROM (SELECT query, document_id, chunk_number, max(rank) AS ra FROM {run_hits('hybrid')} GROUP BY ALL) JOIN (SELECT query, document_id, chunk_number, max(rank) AS rb FROM {run_hits('dense')} GROUP BY ALL) USING (query, document_id, chunk_number))""",
@@ -170,21 +170,21 @@ def oracle_sql() -> dict[str, str]:
         "papers_sampled": f"SELECT anthology_id FROM (SELECT DISTINCT anthology_id FROM papers WHERE {KEPT}) ORDER BY md5('1337|' || coalesce(anthology_id, '')) LIMIT 50",
         "chunks_sampled": "SELECT paper_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY md5('1337|' || coalesce(chunk_index::VARCHAR, '')), chunk_index) AS n FROM (SELECT DISTINCT paper_id, chunk_index FROM span_rows WHERE paper_id IS NOT NULL)) WHERE n <= 2",
         "resume_pending": "SELECT span_row_id FROM span_rows s WHERE split IN ('validation', 'test') AND NOT EXISTS (SELECT 1 FROM predictions p WHERE run_name = 'encoder_small' AND coalesce(p.query, p.question, '') = s.query AND coalesce(p.paper_id, '') = s.paper_id AND coalesce(p.chunk_index, -1) = s.chunk_index)",
-        "sources_tagged": "SELECT source_dataset, source, count(*) AS rows, sum(chars) AS chars FROM (SELECT 'span_rows' AS source_dataset, source, length(chunk) AS chars FROM span_rows UNION ALL SELECT 'documents', source, length(text) FROM documents) GROUP BY ALL",
+        "sources_tagged": "SELECT source_dataset, source, count(*) AS rows, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT 'span_rows' AS source_dataset, source, length(chunk) AS chars FROM span_rows UNION ALL SELECT 'documents', source, length(text) FROM documents) GROUP BY ALL",
         "label_rollup": "SELECT source, split, count(*) AS rows, round(avg(y), 6) AS positive_share FROM (SELECT source, coalesce(split, 'none') AS split, CASE WHEN is_relevant THEN 1 ELSE 0 END AS y FROM span_rows) GROUP BY ROLLUP (source, split)",
         "annotation_actions": """SELECT span_row_id, CASE WHEN contains(l, '?') THEN 'clear' WHEN l NOT IN ('', 'n', 'r') THEN 'error: unknown label' WHEN l = 'n' AND h THEN 'error: gold text on an irrelevant hit' WHEN l = 'r' AND NOT h THEN 'error: relevant without gold text' WHEN l = '' THEN 'skip' ELSE 'keep' END AS action
   FROM (SELECT span_row_id, coalesce(trim(relevance_label), '') AS l, coalesce(len(gold_spans_raw), 0) > 0 AS h FROM span_rows)""",
         "answer_match": f"""WITH g AS (SELECT query, paper_id, chunk_index, list_distinct(list(a)) AS gold FROM (SELECT query, paper_id, chunk_index, unnest([{ANSWER.format(sp('s.text'))} FOR s IN gold_spans]) AS a FROM span_rows WHERE split IN ('validation', 'test') AND gold_spans IS NOT NULL AND query IS NOT NULL AND paper_id IS NOT NULL) GROUP BY ALL),
   k AS (SELECT DISTINCT query, paper_id, chunk_index FROM span_rows WHERE split IN ('validation', 'test') AND gold_spans IS NOT NULL AND query IS NOT NULL AND paper_id IS NOT NULL),
   p AS (SELECT run_name, query, paper_id, chunk_index, list_distinct([{ANSWER.format(sp("coalesce(s.text, '')"))} FOR s IN coalesce(pred_spans, [])]) AS pred FROM {LAST_PREDICTIONS})
-  SELECT run_name, count(*) AS rows, sum(len(list_intersect(pred, coalesce(gold, [])))) AS matched, sum(len(pred)) AS predicted, sum(len(coalesce(gold, []))) AS expected FROM p JOIN k USING (query, paper_id, chunk_index) LEFT JOIN g USING (query, paper_id, chunk_index) GROUP BY run_name""",
+  SELECT run_name, count(*) AS rows, CAST(sum(len(list_intersect(pred, coalesce(gold, [])))) AS BIGINT) AS matched, CAST(sum(len(pred)) AS BIGINT) AS predicted, CAST(sum(len(coalesce(gold, []))) AS BIGINT) AS expected FROM p JOIN k USING (query, paper_id, chunk_index) LEFT JOIN g USING (query, paper_id, chunk_index) GROUP BY run_name""",
         "token_windows": f"""SELECT span_row_id, w AS window, w * 96 AS first, len(t) AS length, md5(array_to_string(t, ' ')) AS hash FROM (SELECT span_row_id, w, words[w * 96 + 1 : w * 96 + 128] AS t FROM (SELECT span_row_id, words, unnest(range(0, greatest(0, CAST(ceil((len(words) - 128) / 96.0) AS BIGINT)) + 1)) AS w
   FROM (SELECT span_row_id, regexp_extract_all(c, '\\S+') AS words FROM {TOKEN_ROWS}) WHERE len(words) > 0))""",
         "token_labels": f"""WITH r AS (SELECT span_row_id, {wc('c')} AS words, list_sort(list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN gold_spans IF s."end" > s.start]))) AS p FROM {TOKEN_ROWS} WHERE len(gold_spans) > 0)
   SELECT span_row_id, words, len(p) AS positive, len([x FOR x, i IN p IF i = 1 OR p[i - 1] <> x - 1]) AS runs FROM r""",
         "token_scores": f"""WITH r AS (SELECT source, {wc('c')} AS n, list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN gold_spans IF s."end" > s.start])) AS g,
     list_distinct(flatten([range(({wc('substr(c, 1, s.start)')}) - CASE WHEN s.start > 0 AND regexp_matches(substr(c, s.start, 2), '^\\S\\S$') THEN 1 ELSE 0 END, {wc('substr(c, 1, s."end")')}) FOR s IN coalesce(baseline_extraction, []) IF s."end" > s.start])) AS p FROM (SELECT source, gold_spans, baseline_extraction, {sp('chunk')} AS c FROM span_rows WHERE chunk IS NOT NULL AND gold_spans IS NOT NULL)),
-  a AS (SELECT source, sum(len(list_intersect(p, g))) AS tp, sum(len(p) - len(list_intersect(p, g))) AS fp, sum(len(g) - len(list_intersect(p, g))) AS fn, sum(n) AS tokens FROM r GROUP BY source)
+  a AS (SELECT source, CAST(sum(len(list_intersect(p, g))) AS BIGINT) AS tp, CAST(sum(len(p) - len(list_intersect(p, g))) AS BIGINT) AS fp, CAST(sum(len(g) - len(list_intersect(p, g))) AS BIGINT) AS fn, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY source)
   SELECT source, tp, fp, fn, tokens, round({_div('tp', '(tp + fp)')}, 6) AS precision, round({_div('tp', '(tp + fn)')}, 6) AS recall, round({_f1(_div('tp', '(tp + fp)'), _div('tp', '(tp + fn)'))}, 6) AS f1 FROM a""",
         "reranked_runs": f"""SELECT query, new_rank, rank, document_id, chunk_number FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, rank) AS new_rank FROM (SELECT query, r AS rank, h.document_id, h.chunk_number,
   CASE WHEN h.title IS NOT NULL THEN len(list_intersect(list_distinct(regexp_split_to_array(lower(h.title), '[^a-z0-9]+')), list_distinct(regexp_split_to_array(lower(query), '[^a-z0-9]+')))) END AS score
