@@ -12,7 +12,7 @@ over buckets, and a row number within the bucket, so that not even a length that
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +27,8 @@ from .tokens import token_counts
 
 #: Lengths up to 1/SMALL of the capacity fill gaps; classes are WIDTH wide; rounds of multiplicative weights, and their rate.
 SMALL, WIDTH, ROUNDS, RATE = 32, 0.012, 160, 6.0
+#: Configurations may leave this share of the capacity unused; others give their items back.
+TIGHT = 0.004
 BUCKETS = 512
 
 
@@ -116,39 +118,47 @@ def plan(hist: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int,
                 slot[0][0] -= m
                 if slot[0][0] == 0:
                     slot.pop(0)
-    rem = {k: v for k, v in rem.items() if v}
-    lengths = sorted(rem)
+    # runs that leave room give their items back; the rest is packed best fit, longest first, in runs as well
+    tight = [(m, content) for m, content in runs if capacity - sum(content) <= TIGHT * capacity]
     done: list[tuple[int, list[int]]] = []
-
-    def fill(m: int, content: list[int]) -> None:
-        todo = [(m, content, capacity - sum(content))]
-        while todo:
-            m, content, room = todo.pop()
-            while True:
-                at = bisect_right(lengths, room)
-                if not at:
-                    done.append((m, content))
-                    break
-                length = lengths[at - 1]
-                each = min(room // length, max(1, rem[length] // m))
-                got = min(m, rem[length] // each)
-                if got < m:
-                    todo.append((m - got, content, room))
-                    m = got
-                content, room = content + [length] * each, room - each * length
-                rem[length] -= m * each
-                if not rem[length]:
-                    lengths.pop(at - 1)
-
-    for m, content in sorted(runs, key=lambda r: sum(r[1])):
-        fill(m, content)
-    while lengths:  # new containers, by the longest that is left
-        length = lengths[-1]
-        m = max(1, rem[length] // (capacity // length))
-        rem[length] -= m
-        if not rem[length]:
-            lengths.pop()
-        fill(m, [length])
+    for m, content in runs:
+        if capacity - sum(content) > TIGHT * capacity:
+            for length in content:
+                rem[length] += m
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[int, list[int]]]] = {}
+
+    def put(room: int, m: int, content: list[int]) -> None:
+        if room == 0:
+            done.append((m, content))
+            return
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((m, content))
+
+    for m, content in tight:
+        put(capacity - sum(content), m, content)
+    for length in sorted((k for k, v in rem.items() if v), reverse=True):
+        left_over = rem[length]
+        while left_over:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                m, content = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(at)
+            else:
+                room, m, content = capacity, left_over, []
+            each = min(room // length, left_over)
+            got = min(m, left_over // each)
+            if got < m and content:
+                put(room, m - got, content)
+            put(room - each * length, got, content + [length] * each)
+            left_over -= got * each
+    for room, lots in open_.items():
+        done += lots
     out, rank, box = [], Counter(), 0
     for m, content in done:
         for length, each in Counter(content).items():
