@@ -3,7 +3,8 @@
 Method: the configuration linear program over the length histogram. Lengths above 1/SMALL of the capacity form classes of
 nearly equal lengths. Multiplicative weights price the classes by how far their coverage lags; the configuration of the greatest
 value is found by knapsack dynamic programming over the capacity, and gets a share of the containers. The shares are rounded
-down, classes are resolved into their true lengths in runs, and what is left fills the gaps, longest first.
+down and classes resolved into their true lengths, in runs of equal containers. Loose runs give their items back; all that is left
+is packed best fit, longest first.
 
 The whole plan is made from the histogram, at most `capacity` numbers, so its size doesn't depend on the number of items. The
 items then find their container from their rank among the items of their length: a count by (length, bucket), a running total
