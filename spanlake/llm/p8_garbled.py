@@ -2,8 +2,9 @@
 
 Method: best-first graph search. The states are spellings of a token, the edges take it to bytes by one encoding and back to
 text by another, or unescape character references; visited spellings are hashed. A character-plausibility cost ranks the
-queue, and the cheapest spelling reached is the restored one if it is clearly cheaper than what was there. Tokens repeat a
-lot, so each worker remembers its answers.
+queue, and the cheapest spelling reached is the restored one if it is clearly cheaper than what was there. Where no encoding
+takes the whole token, its parts are decoded: around lost characters, whose marks stay, and beside genuine ones. Tokens repeat
+a lot, so each worker remembers its answers.
 
 A token counts as garbled if the search restores it, or if it holds traces that nothing can restore (replacement characters
 in words, control characters of the C1 block).
@@ -40,6 +41,10 @@ REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{
 #: A token cheaper than this is left alone; a restored spelling must be cheaper by SAVES and below KEEPS times the old cost.
 CALM, SAVES, KEEPS = 2.6, 1.5, 0.62
 DEPTH = 4
+#: The right encoding of a step that decodes only the parts of a token that are UTF-8.
+PARTS = "utf-8 in parts"
+SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+SEAM = re.compile("([\x00-\x7f]+|\ufffd+)")
 
 
 def _bytes(text: str, code: str) -> bytes | None:
@@ -144,10 +149,92 @@ class Plausibility:
         return total
 
 
+class Bytes(dict):
+    """For str.translate: each character as the one of its byte in a single-byte encoding, or as U+0100."""
+
+    def __init__(self, code: str):
+        super().__init__({i: i for i in range(128)})
+        self.code = code
+
+    def __missing__(self, o: int) -> int:
+        data = _bytes(chr(o), self.code)
+        self[o] = got = 0x100 if data is None else data[0]
+        return got
+
+
 class Restorer:
     def __init__(self):
         self.rank = Plausibility()
         self.memo: dict[str, tuple[bool, str]] = {}
+        self.tables = {w: Bytes(w) for w in WRONG if w != "gb18030"}
+
+    def parts(self, text: str, wrong: str) -> str | None:
+        """The text with every part decoded that is UTF-8 read as `wrong`, or None if there is none."""
+        if wrong == "gb18030":
+            return self._gb_parts(text)
+        out, at = [], 0
+        for m in SEQUENCE.finditer(text.translate(self.tables[wrong])):
+            if (new := _text(m[0].encode("latin-1"), "utf-8")) is not None:
+                out += [text[at : m.start()], new]
+                at = m.end()
+        return "".join(out) + text[at:] if at else None
+
+    def _gb_parts(self, text: str) -> str | None:
+        """Runs between ASCII and lost characters. Bytes of a character that was lost in part go with it; its mark stays."""
+        pieces = SEAM.split(text)
+        got: dict[int, str] = {}
+        kept = 0
+        for i in range(0, len(pieces), 2):
+            if run := pieces[i]:
+                new = self._gb_run(run, i > 0 and pieces[i - 1][0] == "\ufffd", i + 1 < len(pieces) and pieces[i + 1][0] == "\ufffd")
+                if new is None:
+                    kept += 1
+                else:
+                    got[i] = new
+        decoded = sum(map(bool, got.values()))
+        if not decoded:
+            return None
+        return "".join(x if i not in got or not got[i] and decoded <= kept else got[i] for i, x in enumerate(pieces))
+
+    def _gb_run(self, run: str, left: bool, right: bool) -> str | None:
+        """left, right: whether a character was lost at that end."""
+        codes = [c.encode("gb18030", "replace") for c in run]
+        data = b"".join(codes)
+        skip = 0
+        while left and skip < min(3, len(data)) and 0x80 <= data[skip] <= 0xBF:
+            skip += 1
+        end = len(data)
+        for k in range(1, min(4, end - skip + 1) if right else 0):
+            if data[-k] >= 0xC0:
+                end -= k * (k < (2 if data[-k] < 0xE0 else 3 if data[-k] < 0xF0 else 4))
+                break
+        if (new := _text(data[skip:end], "utf-8")) is not None:
+            return new if self.rank.cost(new) <= self.rank.cost(run) else None
+        # genuine characters beside garbled ones: stretches of two characters at least that are clearly cheaper
+        ends, n = {0: 0}, 0
+        for i, c in enumerate(codes):
+            n += len(c)
+            ends[n] = i + 1
+        out, i, at, hit = [], 0, 0, False
+        while i < len(run):
+            start = max(at, skip)
+            try:
+                stop = start + len(data[start:end].decode("utf-8").encode())
+            except UnicodeDecodeError as e:
+                stop = start + e.start
+            while stop > start and (stop not in ends and stop != end or data[stop : stop + 1] and 0x80 <= data[stop] <= 0xBF):
+                stop -= 1
+            new = _text(data[start:stop], "utf-8") if stop - start >= 6 else None
+            j = ends[len(data) if stop == end else stop] if new else i
+            if j > i and len(new) > 1 and self.rank.cost(new) <= KEEPS * self.rank.cost(run[i:j]):
+                out.append(new)
+                hit = True
+            else:
+                j = i + 1
+                out.append(run[i])
+            at += sum(map(len, codes[i:j]))
+            i = j
+        return "".join(out) if hit else None
 
     def search(self, token: str) -> tuple[float, str, tuple]:
         """(lowest cost, its spelling, the steps that led there); a step is (wrong, right), or () for unescaping."""
@@ -174,6 +261,11 @@ class Restorer:
                         forms[wrong] = data
                 after += [(new, (w, "utf-8"), 0.0) for w, data in forms.items() if (new := _text(data, "utf-8")) is not None]
                 if not any(self.rank.cost(new) <= KEEPS * cost for new, _, _ in after):  # nothing else decodes as UTF-8 by chance
+                    marks = 6.0 * text.count("\ufffd")
+                    codes = [x[0] for x in steps if x and x[1] == PARTS][-1:] or WRONG  # parts are all of one encoding
+                    parts = [(new, (w, PARTS), 0.0) for w in codes if (new := self.parts(text, w)) is not None]
+                    after += [x for x in parts if self.rank.cost(x[0]) - marks <= KEEPS * (cost - marks)]
+                if not any(step and step[1] == PARTS or self.rank.cost(new) <= KEEPS * cost for new, step, _ in after):
                     for right in OTHERS:
                         for wrong, data in forms.items():
                             if right != wrong and (new := _text(data, right)) is not None:
@@ -204,7 +296,8 @@ class Restorer:
         cost, text, steps = self.search(plain)
         if plain != token:
             steps = ((), *steps)
-        if any(steps) and cost <= start - SAVES and cost <= KEEPS * start:
+        marks = 6.0 * plain.count("\ufffd")  # which no step removes
+        if any(steps) and cost <= start - SAVES and cost - marks <= KEEPS * (start - marks):
             return True, text, steps
         lost = any(c == "\ufffd" or "\x80" <= c <= "\x9f" and (c != "\x85" or LETTER.search(plain)) for c in plain)
         return lost, token, ()
@@ -212,7 +305,11 @@ class Restorer:
     def follow(self, token: str, steps: tuple) -> str | None:
         """The token after the given steps, if they lead through."""
         for step in steps:
-            if step:
+            if step and step[1] == PARTS:
+                token = self.parts(token, step[0])
+                if token is None:
+                    return None
+            elif step:
                 data = _bytes(token, step[0])
                 token = None if data is None else _text(data, step[1])
                 if token is None:
@@ -248,7 +345,7 @@ class Restorer:
                 return found[w][1]
             # single letters of a garbled text may look plausible by themselves
             if ranked and not w.isascii() and (new := self.follow(w, ranked[0])) is not None:
-                utf8 = ranked[0][-1][-1:] == ("utf-8",)  # which chance hardly ever decodes
+                utf8 = ranked[0][-1][-1:] in (("utf-8",), (PARTS,))  # which chance hardly ever decodes
                 if self.rank.cost(new) <= self.rank.cost(w) - (0 if utf8 else 0.5):
                     return new
             return w

@@ -36,6 +36,22 @@ def test_partly_and_beyond_repair():
     assert r.garbled(PLAIN[0].encode("latin-1").decode("utf-8", "replace"))
 
 
+def test_parts_around_lost_and_genuine_characters():
+    r = Restorer()
+    for t in [PLAIN[5], PLAIN[5] + "去掉摘要之后,系统的召回率明显下降。"]:
+        bad = t.encode("utf-8").decode("gb18030", "replace")
+        assert "\ufffd" in bad and r.garbled(bad)
+        got = r.restore(bad)
+        assert not set(got) - set(t) - {"\ufffd"} and "准确率对文本" in got, got
+        assert got.count("\ufffd") == bad.count("\ufffd")
+    assert r.restore("鎽樿�佷箣鍚�,绯荤粺鐨勫彫鍥炵巼") == "摘��之�,系统的召回率".replace("��", "�")
+    assert r.restore("结果表明绯荤粺鐨勫彫鍥炵巼") == "结果表明系统的召回率"
+    assert r.restore("α–PemmÃ¼ller–Ã©tÃ©") == "α–Pemmüller–été"
+    assert r.restore("â€œlegalâ€") == "“legalâ€" and r.restore("dÃ©jÃ") == "déjÃ"
+    for t in ["结果表�明,准确率�", "联通�联通", "系统�的召回率"]:
+        assert r.restore(t) == t
+
+
 def test_spark(spark):
     bad = PLAIN[0].encode("utf-8").decode("cp1252", "replace")
     rows = [(1, PLAIN[0], "x"), (2, PLAIN[4].encode("utf-8").decode("latin-1"), "x"), (3, None, None), (4, "", ""), (5, bad, "x"), (2, PLAIN[4].encode("utf-8").decode("latin-1"), "x"), (6, "ascii " * 50_000, "x")]
