@@ -121,6 +121,10 @@ class Plausibility:
             return (1.5, "A" if c.isupper() else "a") if c.isalpha() else (1.2, "s")
         return (2.0, "o") if c.isalpha() else (1.5, "s")
 
+    def frequent(self, token: str) -> float:
+        """What frequent Cyrillic and Chinese characters cost by themselves, which adds up in long tokens; ASCII costs nothing."""
+        return 0.05 * sum(0 < self.char(c)[0] <= 0.1 for c in token)
+
     def cost(self, token: str) -> float:
         total, before, prev = 0.0, "0", ""
         letters = {c for c in token if "\xc0" <= c <= "\u024f" and c.islower()}
@@ -291,7 +295,8 @@ class Restorer:
     def _token(self, token: str) -> tuple[bool, str, tuple]:
         plain = html.unescape(token) if "&" in token else token
         start = self.rank.cost(plain)
-        if start < CALM + 0.05 * len(plain):
+        lost = any(c == "\ufffd" or "\x80" <= c <= "\x9f" and (c != "\x85" or LETTER.search(plain)) for c in plain)
+        if not lost and start < CALM + self.rank.frequent(plain) - 1e-9:
             return False, token, ()
         cost, text, steps = self.search(plain)
         if plain != token:
@@ -299,7 +304,6 @@ class Restorer:
         marks = 6.0 * plain.count("\ufffd")  # which no step removes
         if any(steps) and cost <= start - SAVES and cost - marks <= KEEPS * (start - marks):
             return True, text, steps
-        lost = any(c == "\ufffd" or "\x80" <= c <= "\x9f" and (c != "\x85" or LETTER.search(plain)) for c in plain)
         return lost, token, ()
 
     def follow(self, token: str, steps: tuple) -> str | None:

@@ -52,6 +52,17 @@ def test_parts_around_lost_and_genuine_characters():
         assert r.restore(t) == t
 
 
+def test_one_damaged_place_in_a_long_token():
+    r = Restorer()
+    assert r.restore("KÃ©sia") == "Késia" and r.restore("Ã©choue") == "échoue"
+    long = "a-long-compound-of-plain-words" * 10
+    assert r.restore(long + "-cafÃ©") == long + "-café"
+    for mark in "\ufffd\x81":
+        assert r.garbled(long + mark + "x") and r.garbled(PLAIN[5][:-1] * 20 + mark)
+    for t in [PLAIN[5] * 20, PLAIN[3].replace(" ", "-") * 20, long]:
+        assert not r.garbled(t)
+
+
 def test_spark(spark):
     bad = PLAIN[0].encode("utf-8").decode("cp1252", "replace")
     rows = [(1, PLAIN[0], "x"), (2, PLAIN[4].encode("utf-8").decode("latin-1"), "x"), (3, None, None), (4, "", ""), (5, bad, "x"), (2, PLAIN[4].encode("utf-8").decode("latin-1"), "x"), (6, "ascii " * 50_000, "x")]
