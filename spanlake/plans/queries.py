@@ -199,10 +199,13 @@ def generative_examples(s: SparkSession, d: str) -> DataFrame:
 
 
 def answer_overlap(s: SparkSession, d: str) -> DataFrame:
-    """Exact and partial match of the first run's answers against gold texts."""
+    """Exact and partial match of every run's answers against gold texts; a missing prediction is an empty one."""
     g = _gold(s, d).where("is_relevant and query is not null and paper_id is not null").select("span_row_id", "query", "paper_id", "chunk_index", F.transform("gold_spans", lambda x: T.answer_form(x["text"])).alias("gold"))
-    p = evaluate.last_predictions(table(s, d, "predictions").where("run_name = 'encoder_small'")).select("query", "paper_id", "chunk_index", F.transform("pred_spans", lambda x: T.answer_form(F.coalesce(x["text"], F.lit("")))).alias("pred"))
-    return answers.summary(g.join(p, ["query", "paper_id", "chunk_index"], "left").withColumnRenamed("span_row_id", "row_id"))
+    p, keys = table(s, d, "predictions"), ["query", "paper_id", "chunk_index"]
+    g = g.crossJoin(F.broadcast(p.select("run_name").distinct()))  # runs are few
+    p = evaluate.last_predictions(p, ["run_name"]).select(F.col("run_name").alias("run"), *[F.col(c).alias(f"p_{c}") for c in keys], F.transform("pred_spans", lambda x: T.answer_form(F.coalesce(x["text"], F.lit("")))).alias("pred"))
+    j = g.join(p, [F.col("run_name").eqNullSafe(F.col("run")), *[F.col(c) == F.col(f"p_{c}") for c in keys]], "left")
+    return answers.summary(j.withColumnRenamed("span_row_id", "row_id"), "run_name")
 
 
 def silver_candidates(s: SparkSession, d: str) -> DataFrame:

@@ -189,3 +189,15 @@ def test_records_and_report(spark):
     g = silver.generative_examples(spark.createDataFrame([("q", "c", 1, [(0, 1, "x")]), (None, None, 0, None)], f"question string, chunk string, label int, spans {SP}")).collect()
     assert '"answerable":true' in g[0].response and '"spans":[]' in g[1].response
     assert report.table(spark.createDataFrame([(1, 0.5)], "a int, b double")) == "a  b     \n-  ------\n1  0.5000"
+
+
+def test_answer_overlap_covers_every_run(spark):
+    import __spark_entry__ as entry
+    from spanlake.operators import answers
+
+    d = "/root/testdata/sf0.001"
+    got = {r.run_name: r for r in entry.queries()["answer_overlap"](spark, d).collect()}
+    runs = {r.run_name for r in spark.read.parquet(f"{d}/predictions.parquet").select("run_name").distinct().collect()}
+    assert len(runs) > 1 and got.keys() == runs
+    rows = spark.createDataFrame([(1, "a", ["abc"], ["abc"]), (2, "b", ["zz"], ["abc"]), (3, "b", None, ["ab"])], "row_id bigint, run string, pred array<string>, gold array<string>")
+    assert {r.run: r.em_f1 for r in answers.summary(rows, "run").collect()} == {"a": 100.0, "b": 0.0}
