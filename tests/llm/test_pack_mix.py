@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from spanlake.llm.p6_pack import knapsack, packed, plan
+from spanlake.llm.p6_pack import _placed, _sized, best_fit, knapsack, packed, plan
 from spanlake.llm.p7_mix import fly, land, mixed
 from spanlake.llm.tokens import encoding, vocabulary_path
 
@@ -24,16 +24,21 @@ def test_plan_places_every_item_once():
     rnd = random.Random(2)
     for cap in (64, 300):
         hist = Counter(min(cap, int(rnd.expovariate(1 / 40)) + 1) for _ in range(3000))
-        rows, boxes = plan(hist, cap)
+        rows, boxes, bound = plan(hist, cap)
         load, seen = Counter(), Counter()
-        for length, first, each, m, box in rows:
+        for length, first, each, m, box, _ in rows:
             seen[length] += each * m
             for i in range(m):
                 load[box + i] += length * each
         assert seen == hist and max(load.values()) <= cap and len(load) == boxes
         least = -(-sum(k * v for k, v in hist.items()) // cap)
-        assert boxes <= 1.06 * least + 1
-    assert plan({}, 10) == ([], 0)
+        assert least <= boxes and bound <= boxes + 1e-6
+        alone = sum(m for m, *_ in best_fit(hist, cap))
+        assert boxes <= alone
+        by, rest = (sum(length * each * m for length, _, each, m, _, b in rows if b == x and length < cap) for x in (True, False))
+        assert by >= 0.9 * (by + rest)
+    assert plan({}, 10) == ([], 0, 0.0)
+    assert plan({7: 3}, 7)[1] == 3
 
 
 def test_packed(spark):
@@ -50,6 +55,9 @@ def test_packed(spark):
         assert sum(load.values()) == sum(len(encode(t)) for t in texts if t is not None)
         assert all(r.piece == 0 or r.tokens <= cap for r in mine)
     assert packed(df.limit(0), [("pack_a", 64)]).count() == 0
+    parts = _sized(df, [("pack_a", 64), ("pack_b", 512)], "doc_id", "text", None)
+    sent, joined = _placed(*parts), _placed(*parts, sent=0)
+    assert sent.exceptAll(joined).isEmpty() and joined.exceptAll(sent).isEmpty()
 
 
 def test_flight_keeps_both_totals():
