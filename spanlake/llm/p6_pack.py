@@ -33,7 +33,7 @@ from .common import objects, persist_table, read
 from .tokens import token_counts
 
 #: Steps of the program's size, lengths of a partial pricing, and the share of the volume that is left to best fit.
-UNIT, PART, TAIL = 400, 192, 0.01
+UNIT, PART, TAIL = 200, 64, 0.01
 #: Rate of the weights in a length's lag, their rise over the length, and the value given up for a fuller configuration, at first and at last.
 RATE, RISE, SLACKS = 1.0, 1.5, (0.005, 0.05)
 BUCKETS = 512
@@ -170,6 +170,7 @@ def planned(counts: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
         return objects(df.assign(bound=bound))
 
     hist = counts.where("size > 0").groupBy("limit_name", "size").agg(F.sum("n").alias("n"))
+    hist = hist.repartition(len(capacities), "limit_name")  # a number of its own, which isn't coalesced
     return persist_table(hist.groupBy("limit_name").applyInPandas(run, PLAN), "plan")
 
 
