@@ -1,4 +1,4 @@
-from spanlake.llm.p8_garbled import Restorer, restored
+from spanlake.llm.p8_garbled import WORD, Restorer, restored
 
 PLAIN = [
     "Müssten Fälle größer sein, fiele die Güte.", "La sélection de résumés où l’ambiguïté est élevée – à vrai dire «très» grande.", "¿Qué métricas? Ningún año mostró señal.",
@@ -70,3 +70,52 @@ def test_spark(spark):
     got = sorted((r.doc_id, r.restored) for r in restored(df).collect())
     assert got[:2] == [(2, PLAIN[4])] * 2 and {i for i, _ in got} <= {2, 5}
     assert restored(df.limit(0)).count() == 0
+
+
+TEXTS = {
+    "de": "Die Übersetzung größerer Sätze fällt schwer, weil Wörter über mehrere Äste verteilt sind. Häufig müssen Schlüsse später geprüft werden, außer für kürzere Stücke.",
+    "fr": "Les résumés générés paraissent très fidèles, même où la précision décroît. L’évaluation révèle d’où viennent les écarts, grâce à une méthode déjà éprouvée.",
+    "es": "La anotación semántica mejoró también en español, aunque según la evaluación más reciente ningún método alcanzó la precisión típica de los demás años.",
+    "pt": "A avaliação não é só automática: as questões são também lidas por três pessoas, até que a decisão esteja próxima da média das anotações já concluídas.",
+    "cs": "Přesnější překlady však vyžadují úplné slovníky, což je příliš nákladné. Článek proto řeší, jak důvěryhodné shrnutí závisí především na určování významů.",
+    "ru": "Если убрать лишние примеры, точность ответов падает почти вдвое. Наконец, машинный перевод требует более аккуратной проверки, как мы показали в другой работе.",
+}
+NATIVE = {"de": ["cp1252", "cp850", "mac_roman"], "fr": ["cp1252", "cp850", "mac_roman"], "es": ["cp1252", "cp850"], "pt": ["cp1252", "cp850"], "cs": ["cp1250", "iso8859_2", "cp852"], "ru": ["cp1251", "koi8_r", "cp866", "mac_cyrillic"]}
+
+
+def trained():
+    from collections import Counter
+
+    pairs = Counter()
+    for t in TEXTS.values():
+        for w in WORD.findall(t):
+            if not w.isascii():
+                low = f" {w.lower()} "
+                pairs.update(map("".join, zip(low, low[1:])))
+    return Restorer({k: 50 * n for k, n in pairs.items()})
+
+
+def test_code_pages_of_all_languages():
+    r, n, found, back = trained(), 0, 0, 0
+    for lang, t in TEXTS.items():
+        assert not r.garbled(t) and not r.garbled(t.lower()), lang
+        for true in [*NATIVE[lang], "utf-8"]:
+            for wrong in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866"):
+                for text in (t, t.lower()):
+                    try:
+                        bad = text.encode(true).decode(wrong)
+                    except UnicodeError:
+                        continue
+                    if bad != text:
+                        n += 1
+                        found += r.garbled(bad)
+                        back += r.garbled(bad) and r.restore(bad) == text
+    assert n > 250 and found >= 0.95 * n and back >= 0.85 * n, (n, found, back)
+
+
+def test_named_cases():
+    r = trained()
+    for text, true, wrong in [("это простой пример, который показали в другой работе", "koi8_r", "cp1251"), ("это простой пример, который показали в другой работе", "cp1251", "koi8_r"), ("Наконец, машинный перевод требует проверки", "koi8_r", "cp1251"), ("překlady však vyžadují úplné slovníky", "cp1250", "latin-1"), ("překlady však vyžadují úplné slovníky", "iso8859_2", "cp1252"), ("größere Sätze fällt schwer", "cp1252", "mac_roman")]:
+        bad = text.encode(true).decode(wrong)
+        assert r.garbled(bad) and r.restore(bad) == text, (bad, r.restore(bad))
+    assert r.restore("KÃ©sia &#195;&#169;choue") == "Késia échoue"
