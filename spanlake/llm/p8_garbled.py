@@ -59,7 +59,7 @@ LETTERS = 0x530
 #: below ODD a letter aren't looked at.
 GAIN, EACH, ODD = 12.0, 3.0, 4.5
 #: Ways that all tokens are tried on, and found tokens (the longest) that choose these.
-AGREE = 16
+AGREE = 8
 WORD = re.compile(r"[^\W\d_]+")
 INNER = re.compile(r"[^\x00-\x7f\w]")
 #: Signs that may stand within, after or before letters, or by themselves.
@@ -400,15 +400,16 @@ class Restorer:
                 if REFERENCE.search(text):
                     after.append((html.unescape(text), (), 0.0))
                 after += [(new, (w, "utf-8"), 0.0) for w, data in forms.items() if (new := _text(data, "utf-8")) is not None]
-                if not text.isascii() and not any(self.rank.cost(new) <= KEEPS * cost for new, _, _ in after):  # nothing else decodes as UTF-8 by chance
+                sure = any(self.rank.cost(new) <= KEEPS * cost for new, step, _ in after if step)  # nothing decodes as UTF-8 by chance
+                if not text.isascii() and not sure:
                     marks = 6.0 * text.count("\ufffd")
                     codes = [x[0] for x in steps if x and x[1] == PARTS][-1:] or WRONG  # parts are all of one encoding
                     parts = [(new, (w, PARTS), 0.0) for w in codes if (new := self.parts(text, w)) is not None]
-                    after += [x for x in parts if self.rank.cost(x[0]) - marks <= KEEPS * (cost - marks)]
-                # the edges among code pages, once nothing cheaper is left; what decodes as UTF-8 in parts isn't of one code page
-                if forms and not any(x and x[1] == PARTS for x in (*steps, *(step for _, step, _ in after))):
-                    n += 1
-                    heapq.heappush(queue, (cost, n, text, steps, True))
+                    after += (parts := [x for x in parts if self.rank.cost(x[0]) - marks <= KEEPS * (cost - marks)])
+                    # the edges among code pages, once nothing cheaper is left; what decodes as UTF-8 in parts isn't of one code page
+                    if forms and not parts and not any(x and x[1] == PARTS for x in steps):
+                        n += 1
+                        heapq.heappush(queue, (cost, n, text, steps, True))
             for new, step, extra in after:
                 if new not in seen and not any(x < " " and x not in "\t\n\r" for x in new):
                     seen.add(new)
