@@ -46,7 +46,10 @@ class Sketcher:
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted hashes of the distinct shingles."""
-        ids = self.word_ids(text)
+        return np.unique(self.hashes(self.word_ids(text)))
+
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of all shingles of a text, in order."""
         n = len(ids) - self.words + 1
         if n <= 0:
             return np.empty(0, dtype=np.uint64)
@@ -56,7 +59,7 @@ class Sketcher:
             h += ids[i : i + n]
             h *= self.mix[i]
         h ^= h >> U(29)
-        return np.unique(h)
+        return h
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         # multiply-shift over well mixed 64-bit values; in blocks, so that very long texts stay small in memory
