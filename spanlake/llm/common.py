@@ -15,9 +15,11 @@ WORDS = r"[^\W_]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spanlake-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)

@@ -21,11 +21,11 @@ from pyspark.sql.window import Window
 from .common import paper_key, persist_table, read
 
 # Penalties of a cut by the kind of boundary.
-PARAGRAPH, LINE, SENTENCE, WRAP, ROW, CLAUSE, BLANK, NONE = 0.0, 0.15, 0.3, 0.55, 0.6, 0.65, 0.9, 3.0
+PARAGRAPH, LINE, SENTENCE, WRAP, ROW, CLAUSE, BLANK, NONE, COMBINED = 0.0, 0.15, 0.3, 0.55, 0.6, 0.65, 0.9, 3.0, 6.0
 #: Weight of the squared deviation from equal sizes.
 IMBALANCE = 1.0
-#: Blanks are candidates only where no better boundary lies within 1/STRETCH of the limit; places without any boundary, every GRID characters, in the same way.
-STRETCH, GRID = 16, 16
+#: Places without any boundary are candidates, every one, in unbroken runs longer than 1/STRETCH of the limit; shorter runs (words) stay whole.
+STRETCH = 16
 BLOCK = 4096
 
 SENTENCE_END = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？]")
@@ -68,20 +68,13 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
             for m in CLAUSE_END.finditer(line):
                 add(at + m.end(), CLAUSE)
         at = end
-    step = max(1, limit // STRETCH)
-
-    def gaps() -> list[tuple[int, int]]:
-        p = [0, *sorted(best), len(text)]
-        return [(a, b) for a, b in zip(p, p[1:]) if b - a > step]
-
-    for a, b in gaps():
-        for m in SPACE.finditer(text, a, b):
-            add(m.end(), BLANK)
-    for a, b in gaps():
-        for pos in range(a + GRID, b, GRID):
-            while pos < b and (0x300 <= ord(text[pos]) <= 0x36F or text[pos] in "‍️"):
-                pos += 1  # not before a combining character
-            add(pos, NONE)
+    for m in SPACE.finditer(text):
+        add(m.end(), BLANK)
+    ends = [0, *sorted(best), len(text)]
+    for a, b in zip(ends, ends[1:]):
+        if b - a > max(1, limit // STRETCH):
+            for pos in range(a + 1, b):
+                add(pos, COMBINED if 0x300 <= ord(text[pos]) <= 0x36F or text[pos] in "\u200d\ufe0f" else NONE)
     pos = np.array([*sorted(best), len(text)])
     return pos, np.array([*(best[p] for p in pos[:-1]), 0.0])
 
@@ -107,14 +100,11 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
             k = int(np.argmin(c))
             if c[k] + penalty[j] < cost[j]:
                 cost[j], back[j] = c[k] + penalty[j], i0 + k
-    if not np.isfinite(cost[-1]):  # the grid is too coarse for this limit; cut at equal sizes
-        ends = [*range(limit, size, limit - overlap), size]
-    else:
-        ends, j = [], len(pos) - 1
-        while j >= 0:
-            ends.append(int(pos[j]))
-            j = back[j]
-        ends.reverse()
+    ends, j = [], len(pos) - 1
+    while j >= 0:
+        ends.append(int(pos[j]))
+        j = back[j]
+    ends.reverse()
     return [(max(0, a - overlap), b) for a, b in zip([0, *ends], ends)]
 
 
@@ -187,3 +177,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit, overlap = limits(spark, sf_dir, "chunk")
     return indexed(read(spark, sf_dir, "span_rows").select("span_row_id", "paper_id", "chunk_index", "chunk"), limit, overlap)
+
+
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a chunk, rows in pieces, characters without what pieces repeat, pieces over the limit, pieces that don't repeat just the overlap
+    of the one before, and new indexes of one paper that stand for different texts."""
+    limit, overlap = limits(spark, sf_dir, "chunk")
+    rows = read(spark, sf_dir, "span_rows").select("span_row_id", "paper_id", "chunk_index", "chunk")
+    p = persist_table(indexed(rows, limit, overlap).where("text is not null").withColumn("h", F.xxhash64("text")).drop("text"), "invariants")
+    before = F.lag("end").over(Window.partitionBy("span_row_id").orderBy("piece"))
+    p = p.withColumn("wrong", (F.col("piece") > 0) & (before - F.col("start") != overlap))
+    papers = rows.select("span_row_id", paper_key(F.col("paper_id")).alias("paper"))
+    twice = p.join(papers, "span_row_id").where("paper is not null").groupBy("paper", "chunk_index").agg(F.count_distinct("h").alias("c")).where("c > 1").count()
+    size = F.col("end") - F.col("start") - F.when(F.col("piece") > 0, F.lit(overlap)).otherwise(0)
+    return p.agg(
+        F.count_if(F.col("piece") == 0).alias("rows_cut"), F.count_if(F.col("piece") == 1).alias("rows_in_pieces"), F.sum(size).cast("bigint").alias("characters"),
+        F.count_if(F.col("end") - F.col("start") > limit).alias("over_limit"), F.count_if("wrong").alias("wrong_overlaps"), F.lit(twice).cast("bigint").alias("ambiguous_indexes"),
+    )

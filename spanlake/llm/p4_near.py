@@ -69,9 +69,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with a chunk: its exact-copy class, its near-duplicate group (classes linked at five-word shingles and 0.8 or
-    more, directly or through others) and the number of other classes linked to its own."""
-    members, links = similar_classes(read(spark, sf_dir, "span_rows").select("span_row_id", "chunk"), "span_row_id", "chunk", threshold=0.8, words=5)
+    """Every row with a chunk: its exact-copy class, its near-duplicate group (classes linked as in p4_found, directly or through
+    others) and the number of other classes linked to its own."""
+    members, links = similar_classes(read(spark, sf_dir, "span_rows").select("span_row_id", "chunk"), "span_row_id", "chunk")
     labels, _ = contract(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("links"))
     return (
@@ -79,3 +79,13 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(degree, "set_key", "left")
         .select(F.col("id").alias("span_row_id"), F.col("set_key").alias("class_id"), F.coalesce("comp", "set_key").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of p4_found between classes of exact copies, by the smallest row of each: (row_a, row_b, rows_a, rows_b, similarity).
+    The pairs of copies aren't expanded; p4_groups has the members."""
+    members, links = similar_classes(read(spark, sf_dir, "span_rows").select("span_row_id", "chunk"), "span_row_id", "chunk")
+    per = members.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    j = links.join(per.select(F.col("set_key").alias("a"), F.col("rep").alias("x"), F.col("rows").alias("rx")), "a").join(per.select(F.col("set_key").alias("b"), F.col("rep").alias("y"), F.col("rows").alias("ry")), "b")
+    first = F.col("x") < F.col("y")
+    return j.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), F.when(first, F.col("rx")).otherwise(F.col("ry")).alias("rows_a"), F.when(first, F.col("ry")).otherwise(F.col("rx")).alias("rows_b"), F.round("similarity", 6).alias("similarity"))

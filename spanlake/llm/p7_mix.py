@@ -28,7 +28,12 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 0
     """Flight phase: p with at most two values strictly between 0 and 1, besides `keep` that stay on the ground; sum(p) and
     sum(p * size) stay as they are, each value's expectation too."""
     p = p.astype(float).copy()
-    order = rng.permutation(np.flatnonzero((p > EPS) & (p < 1 - EPS))).tolist()[keep:]
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    # the flight leaves the largest sizes open as a rule; so half of those kept are the largest, which can make up for these, and half of all sizes
+    by_size = open_[np.argsort(-size[open_], kind="stable")]
+    at = [*range(keep // 2), *np.linspace(keep // 2, max(len(by_size) - 1, keep // 2), keep - keep // 2).astype(int).tolist()]
+    kept = set(by_size[[i for i in dict.fromkeys(at) if i < len(by_size)]].tolist()) if keep else set()
+    order = [i for i in rng.permutation(open_).tolist() if i not in kept]
     coin = iter(rng.random(3 * len(order) + 3).tolist())
     vals, sz = p.tolist(), size.astype(float).tolist()
     live: list[int] = []
@@ -104,9 +109,7 @@ def mixed(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: in
     goes, the others keep their sizes; an absent source gives no rows. Repeated ids are documents of their own.
     """
     spark = docs.sparkSession
-    sizes = token_counts(docs.where(F.col("source").isNotNull()).select("doc_id", "source", "text"), ["doc_id", "source"], "text", path)
-    others = token_counts(docs.where(F.col("source").isNull()).select("doc_id", "source", "text"), ["doc_id", "source"], "text", path)
-    sizes = persist_table(sizes.union(others).where("tokens > 0"), "sizes")
+    sizes = persist_table(token_counts(docs.select("doc_id", "source", "text"), ["doc_id", "source"], "text", path).where("tokens > 0"), "sizes")
     records = targets_of(sizes, targets)
     rows = [(r["mix_name"], r["source"], int(r["k"] + EPS), max(0.0, r["k"] - int(r["k"] + EPS)), max(1, -(-r["source_docs"] // block))) for r in records if r["k"] > 0]
     table = spark.createDataFrame(rows, "mix_name string, source string, base int, p double, blocks int")
@@ -148,3 +151,23 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mix_name", "source", "target_share", share.alias("reached_share"), F.coalesce(F.try_divide(F.col("reached_tokens"), F.col("mix_wanted")), F.lit(0.0)).alias("share_of_size"), "wanted_tokens", "reached_tokens",
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", "source_tokens",
     )
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By target: documents used more often than max_repeats, documents of another source, and 1 if the tokens reached are off what target and
+    max_repeats allow by over half a hundredth (or half of the source's smallest document)."""
+    docs = read(spark, sf_dir, "documents")
+    chosen, records = mixed(docs, read(spark, sf_dir, "mix_targets"))
+    chosen = persist_table(chosen, "chosen")
+    least = chosen.groupBy("mix_name", "source").agg(F.min("tokens").alias("smallest"), F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
+    table = [(r["mix_name"], r["source"], r["target_share"], r["max_repeats"], r["k"] * r["source_tokens"]) for r in records]
+    table = spark.createDataFrame(table, "mix_name string, source string, target_share double, max_repeats int, allowed double")
+    own = docs.select("doc_id", F.col("source").alias("own"))
+    bad = chosen.join(own, "doc_id").join(F.broadcast(table), ["mix_name", "source"]).groupBy("mix_name", "source").agg(
+        F.count_if(F.col("copies") > F.col("max_repeats")).alias("used_too_often"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("of_other_sources")
+    )
+    zero = F.lit(0).cast("bigint")
+    off = F.abs(F.coalesce("reached", zero) - F.col("allowed")) > F.greatest(0.005 * F.col("allowed"), F.coalesce("smallest", zero) / 2, F.lit(1e-6))
+    return table.join(least, ["mix_name", "source"], "left").join(bad, ["mix_name", "source"], "left").select(
+        "mix_name", "source", "target_share", "max_repeats", F.coalesce("used_too_often", zero).alias("used_too_often"), F.coalesce("of_other_sources", zero).alias("of_other_sources"), F.when(off, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("missed_targets")
+    )

@@ -42,14 +42,14 @@ def test_groups(spark):
         (6, "", None, None), (7, "b-7", "Zzz.", None), (8, None, None, None), (8, None, None, None), (9, "none", "?", None),
     ]
     papers = spark.createDataFrame([("A1-2",), (None,)], "anthology_id string")
-    got = {r.span_row_id: (r.comp, r.group_paper) for r in groups(spark.createDataFrame(rows, ROWS), papers).collect()}
+    got = {r.span_row_id: (r.comp, r.group_paper) for r in groups(spark.createDataFrame(rows, ROWS), papers)[0].collect()}
     assert len({got[i][0] for i in (1, 2, 3, 4)}) == 1 and got[4][1] == "A1-2"
     assert got[5] == got[7] and got[5][1] == "b-7"
     assert len({got[i][0] for i in (1, 5, 6, 8, 9)}) == 5 and got[6][1] is None
 
 
 def test_groups_empty(spark):
-    assert groups(spark.createDataFrame([], ROWS), spark.createDataFrame([], "anthology_id string")).count() == 0
+    assert groups(spark.createDataFrame([], ROWS), spark.createDataFrame([], "anthology_id string"))[0].count() == 0
 
 
 def test_deal_keeps_groups_and_shares(spark):
