@@ -204,3 +204,15 @@ def align_udf(chunk: pd.Series, text: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(SPAN)
 def token_offsets_udf(t: pd.Series) -> pd.Series:
     return pd.Series([[] if x is None else [{"start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", x)] for x in t], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StructType([*_OFFSETS, StructField("line", StringType())])))
+def lines_udf(t: pd.Series) -> pd.Series:
+    def one(x: str) -> list[dict]:
+        out, at = [], 0
+        for line in x.split("\n"):
+            out.append({"start": at, "end": at + len(line), "line": line})
+            at += len(line) + 1
+        return out
+
+    return pd.Series([None if x is None else one(x) for x in t], dtype=object)

@@ -23,14 +23,26 @@ def last_predictions(predictions: DataFrame, by: list[str] | None = None) -> Dat
     return keyed.groupBy(*keys).agg(best.alias("b")).select(*keys, *[F.col(f"b.{c}") for c in others])
 
 
+def for_every_run(rows: DataFrame, predictions: DataFrame, runs: DataFrame) -> DataFrame:
+    """rows(query, paper_id, chunk_index, ...) once for every run_name of runs, with the last prediction of that run for its key (null without one)."""
+    keys = ["query", "paper_id", "chunk_index"]
+    last = last_predictions(predictions, ["run_name"])
+    others = [c for c in last.columns if c not in (*keys, "run_name")]
+    by_key = last.groupBy(*keys).agg(F.collect_list(F.struct("run_name", *others)).alias("_p"))  # one of each run
+    names = runs.agg(F.array_sort(F.collect_set("run_name")).alias("_r"))  # one row
+    each = rows.join(by_key, keys, "left").crossJoin(F.broadcast(names)).withColumn("run_name", F.explode("_r"))
+    own = F.try_element_at(F.filter("_p", lambda x: x["run_name"] == F.col("run_name")), F.lit(1))
+    return each.withColumn("_o", own).select("run_name", *rows.columns, *[F.col(f"_o.{c}") for c in others])
+
+
 def evaluated(gold: DataFrame, predictions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every gold row for every run (a small table), with its prediction if there is one, and its counts.
+    """Every gold row for every run, with its prediction if there is one, and its counts. The predictions of a key are gathered over the runs first,
+    so that each text meets them in one shuffle and is repeated per run only within its task.
 
     A missing prediction is an empty one with latency 0. gold: span_row_id, query, paper_id, chunk_index, chunk, is_relevant, gold_spans.
     """
     rows = gold.withColumns({"query": F.coalesce("query", F.lit("")), "paper_id": F.coalesce("paper_id", F.lit("")), "chunk_index": F.coalesce("chunk_index", F.lit(-1)), "chunk": F.coalesce("chunk", F.lit(""))})
-    rows = rows.crossJoin(F.broadcast(runs.select("run_name").distinct()))  # a handful of runs
-    joined = rows.join(last_predictions(predictions, ["run_name"]), ["run_name", "query", "paper_id", "chunk_index"], "left")
+    joined = for_every_run(rows, predictions, runs)
     none = F.array().cast(S.SPANS)
     joined = joined.withColumns({"pred": S.predicted_spans(F.col("pred_spans"), F.col("predicted_texts"), F.col("chunk")), "gold": F.coalesce(F.col("gold_spans"), none).cast(S.SPANS)})
     joined = joined.withColumns({"pw": S.word_set(F.col("chunk"), F.col("pred")), "gw": S.word_set(F.col("chunk"), F.col("gold"))})

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as T
+from ..functions.pytext import lines_udf
 
 
 def lines_with_offsets(chunk: Column) -> Column:
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,line:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("line"))).alias("out"))
-    return F.aggregate(F.split(chunk, "\n"), init, step, lambda acc: acc["out"])
+    """array<struct<start,end,line>> of a text; an Arrow function, as an array that grows in a higher-order function is copied for every line."""
+    return lines_udf(chunk)
 
 
 def touched_lines(chunk: Column, spans: Column) -> Column:

@@ -78,7 +78,7 @@ def extracted(rows: DataFrame, extractor: SpanExtractor, batch_size: int = 5, le
                 for part in _batches(list(zip(g["row_id"], g["chunk"])), batch_size):
                     began, error = time.monotonic(), None
                     try:
-                        texts = extractor.extract(query or "", [c or "" for _, c in part])
+                        texts = extractor.extract(query if isinstance(query, str) else "", [c or "" for _, c in part])  # groupby gives NaN for null
                     except Exception as x:  # the provider's failure belongs to the rows
                         texts, error = [[] for _ in part], f"{type(x).__name__}: {x}"
                     each = (time.monotonic() - began) / len(part)

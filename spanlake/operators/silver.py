@@ -11,30 +11,34 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+#: Fixed value: a chunk is of a reference section if its heading stands within so many characters; the rule itself looks no further.
+HEAD = 2500
+
+
 @dataclass(frozen=True)
-class FilterConfig:
-    seed: int = 1337
-    dev_fraction: float = 0.1
-    min_span_words: int = 6
-    max_span_words: int = 220
-    max_citation_density: float = 0.12
-    max_year_density: float = 0.08
-    max_positive_rank: int | None = None
-    drop_caption_like: bool = False
-
-
-def drop_reason(label: Column, spans: Column, source: Column, rank: Column, chunk: Column, config: FilterConfig = FilterConfig()) -> Column:
+class Quality:
+    """What a positive row must hold to stay: words of its spans within `words`, `per_word` citations and years at most, a rank up to `deepest`
+    (None: any), and no caption if `captions` is False."""
+
+    # The defaults decide which rows drop.
+    words: tuple[int, int] = (6, 220)
+    per_word: tuple[float, float] = (0.12, 0.08)
+    deepest: int | None = None
+    captions: bool = True
+
+
+def drop_reason(label: Column, spans: Column, source: Column, rank: Column, chunk: Column, quality: Quality = Quality()) -> Column:
     """Why a positive row is dropped, the first reason in a fixed order; null for rows that stay. Negative rows always stay."""
     text = T.stripped(F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), "\n"))
     words = T.word_count(text)
     out = F.when(F.coalesce(label, F.lit(0)) != 1, F.lit(None).cast("string")).when(F.coalesce(F.size(spans), F.lit(0)) == 0, "positive_without_spans")
-    if config.max_positive_rank is not None:
-        out = out.when((source == "retrieved") & (rank > config.max_positive_rank), "rank_too_deep")
-    out = out.when(words < config.min_span_words, "span_too_short").when(words > config.max_span_words, "span_too_long")
-    out = out.when(T.is_reference_like(text) | T.is_reference_like(F.substring(chunk, 1, 2500)), "reference_section")
-    if config.drop_caption_like:
+    if quality.deepest is not None:
+        out = out.when((source == "retrieved") & (rank > quality.deepest), "rank_too_deep")
+    out = out.when(words < quality.words[0], "span_too_short").when(words > quality.words[1], "span_too_long")
+    out = out.when(T.is_reference_like(text) | T.is_reference_like(F.substring(chunk, 1, HEAD)), "reference_section")
+    if not quality.captions:
         out = out.when(T.is_caption_like(text), "caption_like")
-    return out.when(T.density(text, T.CITATION) > config.max_citation_density, "citation_dense").when(T.density(text, T.YEAR) > config.max_year_density, "year_dense")
+    return out.when(T.density(text, T.CITATION) > quality.per_word[0], "citation_dense").when(T.density(text, T.YEAR) > quality.per_word[1], "year_dense")
 
 
 def candidates(runs: DataFrame, top_n: int) -> DataFrame:

@@ -217,9 +217,9 @@ def silver_candidates(s: SparkSession, d: str) -> DataFrame:
 
 def _reasons(s: SparkSession, d: str) -> DataFrame:
     r = corpus.silver_rows(table(s, d, "span_rows"))
-    config = silver.FilterConfig(max_positive_rank=5, min_span_words=12)
+    quality = silver.Quality(words=(12, 220), deepest=5)
     c = F.col
-    return r.select("span_row_id", "label", "source", "question", silver.drop_reason(c("label"), c("spans"), c("source"), c("retrieval_rank"), c("chunk"), config).alias("reason"))
+    return r.select("span_row_id", "label", "source", "question", silver.drop_reason(c("label"), c("spans"), c("source"), c("retrieval_rank"), c("chunk"), quality).alias("reason"))
 
 
 def silver_drop_reasons(s: SparkSession, d: str) -> DataFrame:
@@ -335,22 +335,23 @@ def gold_alignment_full(s: SparkSession, d: str) -> DataFrame:
 
 
 def extracted_spans(s: SparkSession, d: str) -> DataFrame:
-    """Spans of the lexical stand-in extractor for every row of validation and test."""
-    rows = _gold(s, d).select(F.col("span_row_id").alias("row_id"), "query", "chunk")
+    """Spans of the lexical stand-in extractor for every row."""
+    rows = table(s, d, "span_rows").select(F.col("span_row_id").alias("row_id"), "query", "chunk")
     return providers.extracted(rows, providers.LexicalExtractor()).select(F.col("row_id").alias("span_row_id"), "pred_spans", "error")
 
 
 def scored_sentences(s: SparkSession, d: str) -> DataFrame:
-    rows = _gold(s, d).where("is_relevant").select(F.col("span_row_id").alias("row_id"), "query", "chunk")
-    return providers.sentence_spans(rows, providers.LexicalScorer(), 0.25).select(F.col("row_id").alias("span_row_id"), F.size("pred_spans").alias("spans"))
+    """Sentences of relevant rows that reach the scorer's threshold."""
+    rows = table(s, d, "span_rows").where("is_relevant").select(F.col("span_row_id").alias("row_id"), "query", "chunk")
+    return providers.sentence_spans(rows, providers.LexicalScorer(), 0.5).select(F.col("row_id").alias("span_row_id"), F.size("pred_spans").alias("spans"))
 
 
 def line_metrics(s: SparkSession, d: str) -> DataFrame:
     """Line measures of the last predictions for relevant rows, by run."""
     none = F.array().cast(S.SPANS)
-    runs = table(s, d, "predictions").select("run_name").distinct()
-    rows = _gold(s, d).where("is_relevant and chunk is not null").withColumns({"query": F.coalesce("query", F.lit("")), "paper_id": F.coalesce("paper_id", F.lit(""))}).crossJoin(F.broadcast(runs))
-    j = rows.join(evaluate.last_predictions(table(s, d, "predictions"), ["run_name"]), ["run_name", "query", "paper_id", "chunk_index"], "left")
+    p = table(s, d, "predictions")
+    rows = _gold(s, d).where("is_relevant and chunk is not null").withColumns({"query": F.coalesce("query", F.lit("")), "paper_id": F.coalesce("paper_id", F.lit(""))})
+    j = evaluate.for_every_run(rows, p, p)
     j = j.withColumns({"p": lines.touched_lines(F.col("chunk"), F.coalesce("pred_spans", none)), "g": lines.touched_lines(F.col("chunk"), F.coalesce("gold_spans", none))})
     m = lines.measures(j, "p", "g", "chunk")
     return lines.summary(j.select("run_name", *[c.alias(n) for n, c in m.items()]), "run_name", list(m))

@@ -94,6 +94,7 @@ def run_hits(kind: str) -> str:
 
 ITEM = "x.document_id || '#' || x.chunk_number"
 TOP5 = "list_distinct([coalesce(x.document_id, '') || CASE WHEN x.document_id IS NULL THEN '' ELSE '#' END || x.chunk_number FOR x IN results[1:5]])"
+# The patterns of the quality filter.
 CITATION = r"\b(?:[A-Z][A-Za-z''`-]+(?:\s+et\s+al\.)?|\([^)]+)\s*,?\s*(?:19|20)\d{2}[a-z]?\)?"
 YEAR = r"\b(?:19|20)\d{2}[a-z]?\b"
 REFERENCE = r"(?im)^\s{0,3}(#+\s*)?(references|bibliography)\s*$"
@@ -103,7 +104,7 @@ REASONS = f"""(SELECT span_row_id, label, source, question, CASE WHEN label <> 1
  FROM (SELECT *, {wc(sp('st'))} AS words FROM (SELECT span_row_id, query AS question, source, retrieval_rank, chunk, CASE WHEN coalesce(is_relevant, false) THEN 1 ELSE 0 END AS label, CASE WHEN coalesce(is_relevant, false) THEN gold_spans ELSE [] END AS spans,
    array_to_string([coalesce(s.text, '') FOR s IN CASE WHEN coalesce(is_relevant, false) THEN gold_spans ELSE [] END], chr(10)) AS st FROM span_rows)))"""
 TOKEN_ROWS = f"(SELECT span_row_id, gold_spans, chunk, {sp('chunk')} AS c FROM span_rows WHERE chunk IS NOT NULL)"
-TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+TERMS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def merged(least: int, gap: int, first: bool) -> str:

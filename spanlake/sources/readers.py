@@ -20,18 +20,45 @@ def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A prediction file as a JSON list, an object with records, one object, or JSON lines; the shape is found per file."""
+    """A prediction file, or a folder of them, as JSON lines, a JSON list, an object with records, or one object; the shape is found per file from
+    its first line. Lines are split among tasks and never dropped: a malformed one gives a row with its text in `error`."""
+    import json
+
+    def is_line(text: str) -> bool:
+        try:
+            return isinstance(d := json.loads(text), dict) and "records" not in d
+        except ValueError:
+            return False
+
+    lines, whole = [], []
+    for f in sorted(spark.read.text(path).inputFiles()):  # files, not rows
+        first = spark.read.text(f).where(F.trim("value") != "").first()
+        if first is not None:
+            (lines if is_line(first[0]) else whole).append(f)
     ddl = schemas.PREDICTION
-    whole = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
-    listed = whole.where(F.col("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{ddl}>>")).alias("r"))
-    boxed = F.from_json("value", f"struct<records: array<struct<{ddl}>>>")["records"]
-    single = F.from_json("value", f"struct<{ddl}>")
-    objects = whole.where(F.col("value").startswith("{"))
-    records = objects.where(boxed.isNotNull()).select(F.explode(boxed).alias("r"))
-    lines = objects.where(boxed.isNull()).select(F.explode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("value"))
-    pretty = objects.where(boxed.isNull() & ~F.split("value", r"\r?\n")[0].rlike(r"\}\s*$")).select(single.alias("r"))
-    rows = lines.where(F.trim("value").rlike(r"^\{.*\}$")).select(single.alias("r"))
-    return listed.unionByName(records).unionByName(pretty).unionByName(rows).select("r.*")
+    names = [c.name for c in spark.createDataFrame([], ddl).schema]
+    out = spark.createDataFrame([], ddl)
+    if lines:
+        bad = F.when(F.col("malformed").isNotNull(), F.concat(F.lit("malformed: "), F.col("malformed"))).otherwise(F.col("error"))
+        rows = spark.read.schema(f"{ddl}, malformed STRING").option("columnNameOfCorruptRecord", "malformed").json(lines)
+        out = out.unionByName(rows.withColumn("error", bad).select(*names))
+    if whole:
+        docs = spark.read.schema(f"{ddl}, records ARRAY<STRUCT<{ddl}>>").option("multiLine", True).option("mode", "FAILFAST").json(whole)
+        own = F.struct(*[F.col(c) for c in names])
+        out = out.unionByName(docs.select(F.explode(F.coalesce("records", F.array(own))).alias("r")).select("r.*"))
+    return out
+
+
+def run_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, run_name, summary): the numbers a run file has under `summary`, null where it has none and the run must be scored from its records."""
+    docs = spark.read.schema("run_name STRING, summary MAP<STRING, DOUBLE>").option("multiLine", True).json(path)
+    return docs.select(F.col("_metadata.file_path").alias("file"), "run_name", "summary").groupBy("file").agg(F.first("run_name", True).alias("run_name"), F.first("summary", True).alias("summary"))
+
+
+def rows_until(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A published table, lazily, with at most `limit` rows if one is given."""
+    df = spark.read.parquet(path)
+    return df if limit is None else df.limit(limit)
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

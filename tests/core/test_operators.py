@@ -25,7 +25,7 @@ def test_evaluation_of_exact_and_false_predictions(spark):
 
 
 def test_quality_filter(spark):
-    config = silver.FilterConfig(max_positive_rank=3, drop_caption_like=True)
+    config = silver.Quality(deepest=3, captions=False)
     long = "plain words that go on for long enough here"
     rows = [
         (1, 0, [], "gold", None, ""), (2, 1, [], "gold", None, ""), (3, 1, [(0, 1, long)], "retrieved", 9, ""), (4, 1, [(0, 1, long)], "gold", 9, ""), (5, 1, [(0, 1, "few words")], "gold", None, ""), (6, 1, [(0, 1, "w " * 300)], "gold", None, ""),

@@ -74,3 +74,22 @@ def test_ingest_and_windows(spark, tmp_path):
     assert sorted(r.paper_id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["p1", "p2", "p3"]
     e = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as k union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:00:00', 'a'")
     assert sorted(r.rows for r in ingest.windowed_counts(e, "ts", "k").collect()) == [1, 2]
+
+
+def test_malformed_prediction_lines_are_kept(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"query": "a"}\n{broken\n\n{"query": "b", "error": "e"}\n')
+    got = sorted((r["query"] or "", r["error"] or "") for r in readers.predictions(spark, str(tmp_path)).collect())
+    assert got == [("", "malformed: {broken"), ("a", ""), ("b", "e")]
+    (tmp_path / "q.json").write_text('[{"query": "c"}]')
+    (tmp_path / "empty.json").write_text("\n")
+    assert readers.predictions(spark, str(tmp_path)).count() == 4
+
+
+def test_run_summaries_and_limits(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "a.json").write_text('{"run_name": "a", "summary": {"f1": 0.5}}')
+    (tmp_path / "runs" / "b.json").write_text('{"run_name": "b", "records": []}')
+    got = {r.run_name: r.summary for r in readers.run_summaries(spark, str(tmp_path / "runs")).collect()}
+    assert got == {"a": {"f1": 0.5}, "b": None}
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    assert readers.rows_until(spark, str(tmp_path / "t"), 3).count() == 3 and readers.rows_until(spark, str(tmp_path / "t")).count() == 10
