@@ -157,10 +157,33 @@ def _language() -> str:
  FROM (SELECT lower(lang) AS recorded, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS words FROM documents) GROUP BY ALL"""
 
 
+def _line_metrics() -> str:
+    """Line measures of the last predictions for relevant rows."""
+
+    def touched(spans: str) -> str:
+        return f"""list_distinct([rtrim(x.l, ' ') FOR x IN ls IF trim(x.l, ' ') <> '' AND len([1 FOR s IN {spans} IF s.start < x.s + length(x.l) AND s."end" > x.s]) > 0])"""
+
+    words = lambda x: Q.wc(Q.sp(x))
+    div = lambda a, b: f"coalesce({a} / nullif({b}, 0)::DOUBLE, 0.0)"
+    measures = {
+        "line_p": f"CASE WHEN np = 0 AND ng = 0 THEN 1.0 ELSE {div('c', 'np')} END", "line_r": f"CASE WHEN np = 0 AND ng = 0 THEN 1.0 ELSE {div('c', 'ng')} END", "line_f1": f"CASE WHEN np = 0 AND ng = 0 THEN 1.0 ELSE {div('2 * c', '(np + ng)')} END",
+        "exact": "CASE WHEN c = np AND c = ng THEN 1.0 ELSE 0.0 END", "empty_right": "CASE WHEN (np = 0) = (ng = 0) THEN 1.0 ELSE 0.0 END", "compression": f"1 - {div('kept', 'length(chunk)')}", "word_share": div("pw", words("chunk")),
+    }
+    out = ", ".join(f"round(avg({m}::DOUBLE), 4) AS {n}_mean, round(median({m}::DOUBLE), 4) AS {n}_median" for n, m in measures.items())
+    return f"""WITH j AS (SELECT r.run_name, g.chunk, coalesce(g.gold_spans, []) AS gs, coalesce(p.pred_spans, []) AS ps, string_split(g.chunk, chr(10)) AS parts
+   FROM (SELECT * FROM span_rows WHERE split IN ('validation', 'test') AND is_relevant AND chunk IS NOT NULL) g CROSS JOIN (SELECT DISTINCT run_name FROM predictions) r
+   LEFT JOIN {Q.LAST_PREDICTIONS} p ON p.run_name = r.run_name AND p.query = coalesce(g.query, '') AND p.paper_id = coalesce(g.paper_id, '') AND p.chunk_index = g.chunk_index),
+ o AS (SELECT *, [{{'s': length(array_to_string(parts[1:i - 1], chr(10))) + CASE WHEN i > 1 THEN 1 ELSE 0 END, 'l': parts[i]}} FOR i IN range(1, len(parts) + 1)] AS ls FROM j),
+ t AS (SELECT run_name, chunk, {touched('ps')} AS p, {touched('gs')} AS g FROM o),
+ m AS (SELECT *, len(p) AS np, len(g) AS ng, len(list_intersect(p, g)) AS c, length(array_to_string(p, chr(10))) AS kept, {words("array_to_string(p, ' ')")} AS pw FROM t)
+ SELECT run_name, count(*) AS n, {out} FROM m GROUP BY run_name"""
+
+
 def oracle_sql() -> dict[str, str]:
     good = 's.start >= 0 AND s."end" > s.start AND s."end" <= length(chunk) AND substr(chunk, s.start + 1, s."end" - s.start) = s.text'
     terms = Q.TERMS
     return {
+        "line_metrics": _line_metrics(),
         "paper_chunks": "SELECT paper_id, CAST(count(*) AS INTEGER) AS chunks, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS indexes FROM (SELECT DISTINCT paper_id, chunk_index FROM span_rows WHERE paper_id IS NOT NULL AND chunk_index IS NOT NULL) GROUP BY paper_id",
         "spans_repaired": f"""SELECT prediction_id, CAST(len(r) AS INTEGER) AS spans, array_to_string([x.a || ':' || x.b FOR x IN r], ',') AS places FROM (SELECT prediction_id, [{{'a': CASE WHEN coalesce({good}, false) THEN s.start ELSE strpos(chunk, s.text) - 1 END, 'b': CASE WHEN coalesce({good}, false) THEN s."end" ELSE strpos(chunk, s.text) - 1 + length(s.text) END}}
   FOR s IN coalesce(pred_spans, []) IF coalesce({good}, false) OR coalesce(length(s.text) > 0 AND strpos(chunk, s.text) > 0, false)] AS r
