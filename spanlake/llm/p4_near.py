@@ -68,17 +68,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apart.union(same).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
 
 
-def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with a chunk: its exact-copy class, its near-duplicate group (classes linked as in p4_found, directly or through
-    others) and the number of other classes linked to its own."""
-    members, links = similar_classes(read(spark, sf_dir, "span_rows").select("span_row_id", "chunk"), "span_row_id", "chunk")
+def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members and links of similar_classes -> (id, class_id, group_id, links): classes and groups by the smallest id in them, and the number of other
+    classes linked to a row's own. Groups are classes linked directly or through others."""
     labels, _ = contract(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("links"))
-    return (
-        members.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .join(degree, "set_key", "left")
-        .select(F.col("id").alias("span_row_id"), F.col("set_key").alias("class_id"), F.coalesce("comp", "set_key").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    reps = members.groupBy("set_key").agg(F.min("id").alias("class_id")).join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").join(degree, "set_key", "left")
+    reps = persist_table(reps.select("set_key", "class_id", F.coalesce("comp", "set_key").alias("comp"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links")), "reps")
+    groups = reps.groupBy("comp").agg(F.min("class_id").alias("group_id"))
+    return members.select("id", "set_key").join(reps.join(groups, "comp"), "set_key").select("id", "class_id", "group_id", "links")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with a chunk: its class of exact copies, its near-duplicate group (classes linked as in p4_found, directly or through others) and
+    the number of other classes linked to its own."""
+    found = similar_classes(read(spark, sf_dir, "span_rows").select("span_row_id", "chunk"), "span_row_id", "chunk")
+    return grouped(*found).select(F.col("id").alias("span_row_id"), "class_id", "group_id", "links")
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:

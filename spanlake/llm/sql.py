@@ -69,16 +69,28 @@ WITH {_RUNS.format(rows="span_rows")}
 SELECT x.span_row_id AS row_a, y.span_row_id AS row_b FROM members x JOIN same ON same.a = x.t JOIN members y ON y.t = same.b WHERE x.span_row_id < y.span_row_id
 """
 
-#: Groups through links, and links of every class of equal runs.
-P4_LINKS = f"""
-WITH {_RUNS.format(rows="span_rows")},
+#: Classes of equal runs (equal texts where there are none), and the similar pairs of texts.
+_CLASSES = f"""{_RUNS.format(rows="span_rows")},
 keys AS (SELECT t.t, coalesce(CAST(list(g ORDER BY g) AS VARCHAR), any_value(chunk)) AS k FROM texts t LEFT JOIN runs r ON r.t = t.t GROUP BY t.t),
 classes AS (SELECT k, min(span_row_id) AS rep, count(*) AS n FROM members JOIN keys USING (t) GROUP BY k),
-rated AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM shared JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE c >= 0.6 * (x.n + y.n - c))
+rated AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM shared JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+P4_LINKS = f"""
+WITH {_CLASSES}
 SELECT DISTINCT least(x.rep, y.rep) AS row_a, greatest(x.rep, y.rep) AS row_b, if(x.rep < y.rep, x.n, y.n) AS rows_a, if(x.rep < y.rep, y.n, x.n) AS rows_b, round(s, 6) AS similarity
 FROM rated JOIN keys ka ON ka.t = a JOIN keys kb ON kb.t = b JOIN classes x ON x.k = ka.k JOIN classes y ON y.k = kb.k WHERE x.rep <> y.rep
 """
 
+P4_GROUPS = f"""
+WITH RECURSIVE {_CLASSES},
+links AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT a, b FROM rated UNION ALL SELECT b, a FROM rated) r JOIN keys ka ON ka.t = r.a JOIN keys kb ON kb.t = r.b JOIN classes x ON x.k = ka.k JOIN classes y ON y.k = kb.k WHERE x.rep <> y.rep),
+reach(node, root) AS (SELECT DISTINCT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT m.span_row_id, c.rep AS class_id, coalesce(o.root, c.rep) AS group_id, coalesce(d.n, 0) AS links
+FROM members m JOIN keys USING (t) JOIN classes c USING (k) LEFT JOIN roots o ON o.node = c.rep LEFT JOIN degree d ON d.a = c.rep
+"""
+
 P5_FOUND = f"""
 WITH rows_ AS (SELECT span_row_id, chunk, split, source, {_query_key("query")} AS q, CASE WHEN lower(trim(split)) = 'train' THEN 1 WHEN lower(trim(split)) IN ('validation', 'test') THEN 2 END AS side FROM span_rows),
 used AS (SELECT * FROM rows_ WHERE side IS NOT NULL AND q IS NOT NULL AND chunk IS NOT NULL),
@@ -106,6 +118,6 @@ FROM mix_targets
 """
 
 SQL = {
-    "p1_found": P1_FOUND, "p1_invariants": P1_INVARIANTS, "p2_found": P2_FOUND, "p2_invariants": P2_INVARIANTS, "p4_found": P4_FOUND, "p4_links": P4_LINKS, "p5_found": P5_FOUND,
+    "p1_found": P1_FOUND, "p1_invariants": P1_INVARIANTS, "p2_found": P2_FOUND, "p2_invariants": P2_INVARIANTS, "p4_found": P4_FOUND, "p4_links": P4_LINKS, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND,
     "p6_invariants": P6_INVARIANTS, "p7_invariants": P7_INVARIANTS,
 }
