@@ -201,3 +201,26 @@ def test_answer_overlap_covers_every_run(spark):
     assert len(runs) > 1 and got.keys() == runs
     rows = spark.createDataFrame([(1, "a", ["abc"], ["abc"]), (2, "b", ["zz"], ["abc"]), (3, "b", None, ["ab"])], "row_id bigint, run string, pred array<string>, gold array<string>")
     assert {r.run: r.em_f1 for r in answers.summary(rows, "run").collect()} == {"a": 100.0, "b": 0.0}
+
+
+def test_sparse_search_makes_no_pairs(spark):
+    import random
+
+    rnd = random.Random(8)
+    postings = [(i, t, rnd.choice([0.5, 1.0, 1.0, 2.5, -1.0, 0.0])) for i in range(300) for t in ["of", *rnd.sample("abcdefgh", 3)]]
+    postings += [(7, "of", 1.0), (8, None, 1.0), (9, "a", None)]  # a term twice, nulls
+    asked = [(q, t, rnd.choice([1.0, 1.0, 2.0, -0.5])) for q in range(40) for t in ["of", *rnd.sample("abcdefghx", 2)]]
+    asked += [(100 + q, t, v) for q, t, v in asked if q < 3] + [(200, "x", 1.0), (201, None, 1.0)]  # equal queries, one without a hit
+    got = retrieval.sparse_search(spark.createDataFrame(postings, "item bigint, term string, weight double"), spark.createDataFrame(asked, "query_id bigint, term string, weight double"), 4, rows=64)
+    score = {}
+    for q, t, v in asked:
+        for i, u, w in postings:
+            if t is not None and t == u and w is not None:
+                score[q, i] = score.get((q, i), 0) + v * w
+    want = {}
+    for q, i in sorted(score, key=lambda x: (x[0], -round(score[x], 6), x[1])):
+        want.setdefault(q, []).append((i, round(score[q, i], 6)))
+    assert {(r.query_id, r.rank, r.item, r.score) for r in got.collect()} == {(q, n + 1, i, s) for q, x in want.items() for n, (i, s) in enumerate(x[:4])}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan  # items meet queries within tasks, by blocks, and not in a join by term
+    assert retrieval.sparse_search(spark.createDataFrame([], "item bigint, term string, weight double"), spark.createDataFrame([], "query_id bigint, term string, weight double"), 4).count() == 0
