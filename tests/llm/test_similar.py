@@ -122,3 +122,18 @@ def test_index_is_compressed():
     texts = [rng.integers(1, 2**62, 4000).astype(np.uint64)[rng.integers(0, 4000, 300)] for _ in range(60)]
     index = FMIndex(texts)
     assert index.nbytes < 4 * index.n
+
+
+def test_similar_texts_without_a_run_in_common(spark):
+    rnd = random.Random(12)
+    few = ["yes", "no", "maybe", "both", "none"]
+    texts = [" ".join(rnd.choice(few) for _ in range(220)) for _ in range(12)]  # as cells of tables: the same windows in other places
+    rows = [(i, t, "what is it", "train" if i % 2 else "test", "x") for i, t in enumerate(texts)]
+    g = [grams(t) for t in texts]
+    want = {(i, j) for i in range(1, 12, 2) for j in range(0, 12, 2) if jaccard(g[i], g[j]) >= 0.6}
+    pieces = [[rnd.choice(few) + str(rnd.randrange(99)) for _ in range(3)] for _ in range(40)]
+    long = [w for p in pieces for w in [*p, f"x{rnd.random()}"]]  # all words of the short text, in runs of three
+    rows += [(50, " ".join(w for p in pieces for w in p), "where is that", "test", "x"), (51, " ".join(long), "why though", "train", "x")]
+    pairs, contained = row_overlaps(spark.createDataFrame(rows, "span_row_id bigint, chunk string, query string, split string, source string"))
+    assert {(r.train_id, r.eval_id) for r in pairs.collect()} == want and want
+    assert 50 in {r.eval_id for r in contained.collect()}
