@@ -7,9 +7,10 @@ ranked by the words around, their cost and their frequency. Confusions alone mar
 a substitution in a word of small letters and the pair with a neighbouring word is known, as it may be a slip of typing or a name else. Running headers, page
 numbers and page breaks are then removed, words broken across lines joined and lines reflowed into paragraphs.
 
-The vocabulary holds the words of TWICE distinct chunks and LEAST chunks at least, at any size of the collection. It is computed
-over all of them and broadcast, with at most MOST words and MOST pairs, the most frequent ones. Misread forms recur too: a form
-that the automaton's confusions turn into a word MANY times as frequent is no word.
+The vocabulary holds all words of TWICE distinct chunks and LEAST chunks at least, at any size of the collection. It is computed
+over all of them and broadcast. More than MOST words, or pairs, go out as sorted files that executors map into memory and search in
+place, so their memory has a bound and no word is left out. Misread forms recur too: a form that the automaton's confusions turn into
+a word MANY times as frequent is no word.
 
 Scale: equal chunks are merged before they are counted, which shuffles each distinct text once; the counting pass aggregates
 within each task before its shuffle. Nothing else is shuffled.
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .automaton import ANY, SHAPE, Shapes, Trie, candidates
 from .common import objects, persist_table, read
+from .sorted_table import SortedTable, SortedTrie, sorted_table
 
 #: A vocabulary word is in TWICE distinct chunks, and in LEAST chunks with their copies; a reading by more than one confusion, and a pair of
 #: words that vouches for one, in READ distinct chunks.
 TWICE, LEAST, READ = 2, 3, 10
-#: Words, and pairs of words, that are sent to all executors: some 200 MB each.
+#: Words, and pairs of words, that are sent to all executors as a dictionary (some 200 MB each); more are sent as sorted files.
 MOST = 2_000_000
 #: A form that confusions of shapes turn into a word in so many times as many chunks is a misreading of it. On the test data such
 #: forms have 110 times and more, pairs of real words under 5.
@@ -67,12 +69,17 @@ def budget(word: str, edits: int) -> int:
     return min(4, 1 + len(word) // 3) + (edits if len(word) > 3 else 0)
 
 
+def trie(words: dict[str, int] | SortedTable) -> Trie | SortedTrie:
+    """Of the words of three letters and more."""
+    return SortedTrie(words) if isinstance(words, SortedTable) else Trie({w: n for w, n in words.items() if len(w) > 2 and w.isalpha()})
+
+
 class Reader:
     """Marks and repairs chunks by a vocabulary of lower-case words with their numbers of chunks."""
 
-    def __init__(self, vocabulary: dict[str, int], pairs: dict[str, int] | None = None):
+    def __init__(self, vocabulary: dict[str, int] | SortedTable, pairs: dict[str, int] | SortedTable | None = None):
         self.words, self.pairs = vocabulary, pairs or {}
-        self.trie = Trie({w: n for w, n in vocabulary.items() if len(w) > 2 and w.isalpha()})
+        self.trie = trie(vocabulary)
         self.shapes = Shapes(SHAPES)
         self.memo: dict[str, list[tuple[int, str]]] = {}
 
@@ -368,43 +375,70 @@ def counts(chunks: DataFrame, text_col: str, pairs: bool) -> DataFrame:
     return texts.mapInPandas(run, "word string, n bigint, copies bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
 
 
+def misread_form(w: str, n: int, words: Trie | SortedTrie, shapes: Shapes) -> bool:
+    """Whether confusions of shapes turn a word of n chunks into one MANY times as frequent."""
+    return len(w) > 2 and w.isalpha() and any(m >= MANY * n and not swapped(w, x) for x, _, m in candidates(words, w, shapes, budget(w, 0)))
+
+
 def misreadings(words: dict[str, int]) -> set[str]:
     """The words that confusions of shapes turn into one MANY times as frequent, and the compounds with such a part."""
-    shapes, trie = Shapes(SHAPES), Trie({w: n for w, n in words.items() if len(w) > 2 and w.isalpha()})
-    out = set()
-    for w, n in words.items():
-        if len(w) > 2 and w.isalpha():
-            if any(m >= MANY * n and not swapped(w, x) for x, _, m in candidates(trie, w, shapes, budget(w, 0))):
-                out.add(w)
+    shapes, known = Shapes(SHAPES), trie(words)
+    out = {w for w, n in words.items() if misread_form(w, n, known, shapes)}
     return out | {w for w in words if "-" in w and not out.isdisjoint(w.split("-"))}
 
 
-def vocabulary(chunks: DataFrame, text_col: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Words in TWICE distinct chunks and LEAST chunks at least, and runs of two words in READ distinct chunks, of each the MOST frequent MOST, with their numbers of
+def without_misreadings(words: DataFrame) -> DataFrame:
+    """words(word, n) without their misreadings, as misreadings() has them, in tasks."""
+    name = sorted_table(words, "forms").name
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes, known = Shapes(SHAPES), trie(SortedTable(name))
+        for b in batches:
+            yield objects(b[[misread_form(w, n, known, shapes) for w, n in zip(b["word"], b["n"])]][["word"]])
+
+    out = persist_table(words.mapInPandas(run, "word string"), "misread")
+    rest = words.join(out, "word", "left_anti")
+    parts = rest.where(F.contains("word", F.lit("-"))).select("word", F.explode(F.split("word", "-")).alias("part"))
+    return rest.join(parts.join(out.withColumnRenamed("word", "part"), "part", "left_semi").select("word").distinct(), "word", "left_anti")
+
+
+#: Words without digits, stray marks and joined letters.
+LETTERS = re.compile(r"[^\W\d_ıﬀ-ﬆ]+(?:-[^\W\d_ıﬀ-ﬆ]+)*")
+
+
+def lettered(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield objects(b[[LETTERS.fullmatch(w) is not None for w in b["word"]]])
+
+    return words.select("word", "n").mapInPandas(run, "word string, n bigint")
+
+
+def vocabulary(chunks: DataFrame, text_col: str) -> tuple[dict[str, int] | SortedTable, dict[str, int] | SortedTable]:
+    """All words in TWICE distinct chunks and LEAST chunks at least, and all runs of two words in READ distinct chunks, with their numbers of
     distinct chunks. Words with digits, single letters, stray marks and misread forms are left out."""
     seen = counts(chunks, text_col, True).where((F.col("n") >= TWICE) & (F.col("n") + F.col("copies") >= LEAST)).select("word", "n")
     seen = seen.withColumn("pair", F.contains("word", F.lit(" "))).where(~F.col("pair") | (F.col("n") >= READ))  # no other pair is asked for
     seen = persist_table(seen, "vocabulary")
-    kept = {}
-    for pair in (False, True):
-        rows = seen.where(F.col("pair") == pair)
-        if rows.count() > MOST:
-            rows = rows.orderBy(F.desc("n"), "word").limit(MOST)
-        kept[pair] = {r.word: r.n for r in rows.select("word", "n").collect()}
-    letters = re.compile(r"[^\W\d_ı]+(?:-[^\W\d_ı]+)*")
-    words = {w: n for w, n in kept[False].items() if letters.fullmatch(w) and not any("ﬀ" <= c <= "ﬆ" for c in w)}
+    pairs, found = seen.where("pair"), seen.where("not pair")
+    in_memory = lambda rows: {r.word: r.n for r in rows.select("word", "n").collect()}
+    held = sorted_table(pairs, "pairs") if pairs.count() > MOST else in_memory(pairs)
+    if found.count() > MOST:
+        return sorted_table(without_misreadings(persist_table(lettered(found), "words")), "words"), held
+    words = {w: n for w, n in in_memory(found).items() if LETTERS.fullmatch(w)}
     for w in misreadings(words):
         del words[w]
-    return words, kept[True]
+    return words, held
 
 
 def _apply(chunks: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """One pass over the chunks after the vocabulary's. how: 'marked' gives the ids of marked chunks, 'repaired' these and their repaired
     texts, 'all' every chunk that isn't null with its text, repaired where it is marked."""
-    shared = chunks.sparkSession.sparkContext.broadcast(vocabulary(chunks, text_col))
+    plain = [x.name if isinstance(x, SortedTable) else x for x in vocabulary(chunks, text_col)]  # broadcasts travel without code
+    shared = chunks.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Reader(*shared.value)
+        r = Reader(*[SortedTable(x) if isinstance(x, str) else x for x in shared.value])
         for b in batches:
             hit = pd.Series([r.marked(t) for t in b["text"]], index=b.index, dtype=bool)
             if how != "all":

@@ -115,3 +115,37 @@ def test_named_misreadings():
     long = "a" * 5000
     for plain in ("in the langauge of a model", "in the lnguage of a model", "in the languague of a model", "a tbx of it", "the " + long, "no Languaxe here"):
         assert not r.marked(plain), plain
+
+
+def test_vocabulary_of_any_size(spark, monkeypatch):
+    from spanlake.llm import p3_scans
+
+    base = "the model was trained on a large corpus and the number of captions rose in a naïve domain-specific 数据 table"
+    rows = [(i, f"{base} {i}") for i in range(160)]
+    rows += [(200 + i, f"{base.replace('number', 'nurnber').replace('domain', 'dornain')} {i}") for i in range(3)]
+    rows += [(300, base.replace("table", "tab1e").replace("model", "m0del")), (301, base.replace("captions", "capt1ons").replace("the number", "tbe number")), (302, base.replace("large", "lavge"))]
+    df = spark.createDataFrame(rows, "span_row_id bigint, chunk string").cache()
+    words, pairs = vocabulary(df, "chunk")
+    got = {r.id: r.repaired for r in repaired(df).collect()}
+    assert set(got) == {200, 201, 202, 300, 301, 302}
+    monkeypatch.setattr(p3_scans, "MOST", 3)  # as if there were more words and pairs than fit
+    more, runs = vocabulary(df, "chunk")
+    assert dict(more.items()) == words and dict(runs.items()) == pairs and len(more) == len(words)
+    assert more["model"] == words["model"] and "nurnber" not in more and "" not in more and runs.get("no such", 0) == 0
+    assert {r.id: r.repaired for r in repaired(df).collect()} == got
+
+
+def test_sorted_trie_as_the_other(spark):
+    from spanlake.llm.sorted_table import SortedTrie, sorted_table
+
+    rnd = random.Random(6)
+    words = {"".join(rnd.choice("ceoimnéß数r") for _ in range(rnd.randrange(1, 6))): rnd.randrange(1, 99) for _ in range(300)} | {"co-me": 4, "m": 3}
+    table = sorted_table(spark.createDataFrame(list(words.items()), "word string, n bigint"), "w")
+    plain, shapes = Trie({w: n for w, n in words.items() if len(w) > 2 and w.isalpha()}), Shapes(SHAPES)
+    other = SortedTrie(table, visits=7)
+    for w in ["come", "rnice", "ceo", "éßc", "数rm", "x", *rnd.sample(sorted(words), 40)]:
+        for edits in (0, 1, 2):
+            assert sorted(candidates(other, w, shapes, 4, edits)) == sorted(candidates(plain, w, shapes, 4, edits)), w
+    assert all(table[w] == n for w, n in words.items()) and "cx" not in table
+    empty = sorted_table(spark.createDataFrame([], "word string, n bigint"), "none")
+    assert len(empty) == 0 and "a" not in empty and candidates(SortedTrie(empty), "abc", shapes, 4, 1) == []
